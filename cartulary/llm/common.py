@@ -81,10 +81,11 @@ def gapless(df: DataFrame, group: list[str], order: list[Column], out: str, rows
     buckets = max(1, -(-n // NUMBERING_ROWS))
     b, at = pick(df.columns, "_bucket"), pick(df.columns, "_offset")
     keyed = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy(*group, b).agg(F.count(F.lit(1)).alias(at))
+    of = {c: pick(df.columns, f"{c}_of") for c in (*group, b)}
+    counts = counts.select(at, *[F.col(c).alias(of[c]) for c in of])
+    before = Window.partitionBy(*[of[c] for c in group]).orderBy(of[b]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(at, F.coalesce(F.sum(at).over(before), F.lit(0)))
-    same = [keyed[c].eqNullSafe(offsets[c]) for c in (*group, b)]
-    joined = keyed.join(offsets, same).select(*[keyed[c] for c in keyed.columns], offsets[at])
+    joined = keyed.join(offsets, [F.col(c).eqNullSafe(F.col(of[c])) for c in of]).drop(*of.values())
     rank = F.row_number().over(Window.partitionBy(*group, b).orderBy(*order))
     return joined.withColumn(out, (F.col(at) + rank - 1).cast(T.LongType())).drop(b, at)

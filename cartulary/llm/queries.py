@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import best_fit, media_columns, simhash_dedup, source_mix, token_counts
+from cartulary.llm import best_fit, embedding_dedup, media_columns, sharding, simhash_dedup, source_mix, token_counts
 from cartulary.llm.common import read
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard_documents(spark, docs, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,5 +46,11 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op8_best_fit)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    linked = embedding_dedup.linked_vectors(spark, vectors)
+    return linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op8_best_fit, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
