@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import best_fit, embedding_dedup, media_columns, sharding, simhash_dedup, source_mix, token_counts
+from cartulary.llm import best_fit, embedding_dedup, language_id, license_scan, media_columns, sharding, simhash_dedup, source_mix, token_counts
 from cartulary.llm.common import read
 
 
@@ -41,16 +41,30 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = language_id.identify(spark, docs)
+    return known.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return best_fit.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs)
+    at = lambda name: F.get(F.col("base"), F.lit(0) if name == "first_word" else F.size("base") - 1).cast("long").alias(name)
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), at("first_word"), at("last_word"), *joined, "score")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     linked = embedding_dedup.linked_vectors(spark, vectors)
     return linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op8_best_fit, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op7_language_id, op8_best_fit, op9_license_scan, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
