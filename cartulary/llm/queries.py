@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import best_fit, embedding_dedup, language_id, license_scan, media_columns, sharding, simhash_dedup, source_mix, token_counts
+from cartulary.llm import best_fit, embedding_dedup, language_id, license_scan, line_dedup, media_columns, sharding, simhash_dedup, source_mix, token_counts
 from cartulary.llm.common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.dedup_lines(spark, docs)
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.shard_documents(spark, docs, 40)
@@ -66,5 +72,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op7_language_id, op8_best_fit, op9_license_scan, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op7_language_id, op8_best_fit, op9_license_scan, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
