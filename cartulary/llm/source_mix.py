@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from cartulary.llm.common import Saved, pick, small
 
 #: Documents that one flight moves, on average.
-FLIGHT_ROWS = 20_000
+FLIGHT_ROWS = 4_000
 #: Probabilities within this of 0 or 1 count as settled.
 EPS = 1e-9
 #: ASCII white space between words.
