@@ -8,6 +8,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,50 +29,102 @@ CACHED = 600_000
 #: Characters of one text that are encoded at once.
 BLOCK = 1 << 20
 
+#: Texts looked up at once, and words encoded as one string.
+TEXTS, JOINED = 64, 256
+
 #: White space for str.split but not for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A mark after a letter or digit and before white space is a pre-token.
-END_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+SPACE = re.compile(r"\s")
 
 
 class WordIds:
     """Token ids of whole texts, word by word.
 
     For a tokenizer whose pre-tokens hold no white space the ids of a text are
-    those of its words, one after the other.
+    those of its words, one after the other.  Words not known yet are encoded
+    many at once.  Those of lower-case letters alone are one pre-token each and
+    go to the tokenizer's model as they are; others are told apart by their
+    tokens' offsets.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.cache = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = list(set(words).difference(self.cache))
-            if len(self.cache) + len(new) > CACHED:
-                self.cache, new = {}, list(set(words))
-            self.cache.update(zip(new, self.encode(new)))
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def ids(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.encode([text])[0]
-        if len(text) <= BLOCK:
-            return self.words(END_MARK.sub(r" \1", text).split())
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = self.library.model.end_of_word_suffix, self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+
+    def encode_plain(self, words: list[str]) -> None:
+        """Words that are one pre-token each: each ends at the first token that ends a word."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.cache.update((w, raw[i:j]) for w, i, j in zip(group, [0, *cuts], cuts))
+
+    def encode(self, words: list[str]) -> None:
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            begins = np.cumsum([0, *(len(w) + 1 for w in group)])
+            cuts = (np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), begins) * 4).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            self.cache.update((w, raw[i:j]) for w, i, j in zip(group, cuts, cuts[1:]))
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the cache lacks.  A mark after a letter or digit is a
+        pre-token, and letters' case makes no difference (but for a sigma's, which
+        depends on its place), so that most are made of known parts."""
+        if len(self.cache) + len(words) > CACHED:
+            self.cache = {}
+        parts = {}
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].lower().isalnum() else (w, "")
+            low = core.lower() if core.isalpha() and is_normalized("NFC", core) and "\u03a3" not in core else core
+            parts[w] = (low, mark)
+        new = {p for pair in parts.values() for p in pair}.difference(self.cache, ("",))
+        plain = [p for p in new if p.isalpha() and p == p.lower() and is_normalized("NFC", p)] if self.ends.any() else []
+        self.encode_plain(plain)
+        self.encode(list(new.difference(plain)))
+        out = {w: self.cache[core] + self.cache[mark] if mark else self.cache[core] for w, (core, mark) in parts.items()}
+        self.cache.update(out)
+        return out
+
+    def look_up(self, many: list[list[str]]) -> list[bytes]:
+        found = [list(map(self.cache.get, words)) for words in many]
+        gaps = [[i for i, v in enumerate(ids) if v is None] if None in ids else () for ids in found]
+        missing = {words[i] for words, at in zip(many, gaps) for i in at}
+        if missing:
+            new = self.learn(missing)
+            for words, ids, at in zip(many, found, gaps):
+                for i in at:
+                    ids[i] = new[words[i]]
+        return [b"".join(ids) for ids in found]
+
+    def long(self, text: str) -> bytes:
+        """Of a text too long for one go: blocks that end at white space."""
         out, at = [], 0
         while at < len(text):
-            end = next((m.start() for m in re.compile(r"\s").finditer(text, min(at + BLOCK, len(text)))), len(text))
-            out.append(self.words(END_MARK.sub(r" \1", text[at:end]).split()))
+            end = next((m.start() for m in SPACE.finditer(text, min(at + BLOCK, len(text)))), len(text))
+            out += self.look_up([text[at:end].split()])
             at = end
         return b"".join(out)
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        plain = [len(t) <= BLOCK and not ODD_SPACE.search(t) for t in texts]
+        found = iter(self.look_up([t.split() for t, ok in zip(texts, plain) if ok]))
+        return [next(found) if ok else self.odd(t) for t, ok in zip(texts, plain)]
+
+    def odd(self, text: str) -> bytes:
+        if ODD_SPACE.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.long(text)
+
 
 _worker: dict[str, WordIds] = {}
 
@@ -92,9 +145,10 @@ def pieces(batches: Iterable[pd.DataFrame], key: str, path: str, end_id: int, ca
         _worker[key] = WordIds(path)
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
     for batch in batches:
-        out = []
-        for id_, tie, text in zip(batch["id"], batch["tie"], batch["text"]):
-            raw = (_worker[key].ids(text) if text else b"") + end
+        out, texts = [], batch["text"].fillna("").tolist()
+        ids = (raw for i in range(0, len(texts), TEXTS) for raw in _worker[key].ids(texts[i : i + TEXTS]))
+        for id_, tie, raw in zip(batch["id"], batch["tie"], ids):
+            raw += end
             for i, at in enumerate(range(0, len(raw), width)):
                 part = raw[at : at + width]
                 out.append((id_, tie, i, at // 4, len(part) // 4, zlib.crc32(part)))
