@@ -125,6 +125,37 @@ def converters(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(text=texts)[["path", "adapter", "size", "mtime_ms", "text", "skip_reason"]]
 
 
+def hidden(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime_ms, content) of files that Spark's readers skip, their
+    names beginning with a dot or an underscore, or a directory's above them.
+
+    The driver lists names without entering pruned directories, and reads the
+    few such files that are not too large; what a sensitive one holds goes no
+    further.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs, never = top.getFileSystem(conf), {*fixed.BUILD_DIRS, *fixed.TOOL_DIRS, fixed.INDEX_DIR}
+    rows, todo = [], [(top, "", False)]
+    while todo:
+        at, prefix, dark = todo.pop()
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            inside = dark or name[0] in "._"
+            if status.isDirectory():
+                if name not in never:
+                    todo.append((status.getPath(), f"{prefix}{name}/", inside))
+            elif inside:
+                content = None
+                if status.getLen() <= fixed.MAX_FILE_BYTES:
+                    stream = fs.open(status.getPath())
+                    content = bytes(stream.readAllBytes())
+                    stream.close()
+                rows.append((prefix + name, status.getLen(), status.getModificationTime(), content))
+    found = spark.createDataFrame(rows, "path string, size long, mtime_ms long, content binary")
+    return found.withColumn("content", F.when(~paths.sensitive(F.col("path")), F.col("content")))
+
+
 def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdown_only: bool = False) -> DataFrame:
     """A directory's files with text, adapter, size, mtime_ms and ``skip_reason``.
 
@@ -132,6 +163,7 @@ def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdo
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = found.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    rows = rows.unionByName(hidden(spark, root))
     rows = rows.where(~paths.pruned(F.col("path"))).where(paths.sensitive(F.col("path")) | ~ignored(ignore))
     rows = rows.withColumn("adapter", paths.adapter(F.col("path")))
     as_text = F.col("content").cast("string")

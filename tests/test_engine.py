@@ -1,0 +1,153 @@
+"""Commands end to end on a small corpus, the store, the seam and the stream."""
+
+import json
+
+import pytest
+
+from cartulary.__main__ import budget, hint, main
+from cartulary.plans import provider
+from cartulary.plans.engine import Engine
+from cartulary.plans.store import Busy, Generations
+from cartulary.sources import corpus
+from cartulary.streaming.incremental import follow
+
+TEXTS = {
+    "docs/cache.md": "# Caching\nThe cache expires entries after one hour.\nEviction is lazy.\n",
+    "docs/auth.md": "# Auth\nSessions live in the browser.\n",
+    "src/lib.rs": "use std::io;\npub fn evict(cache: Cache) {\n}\n",
+    ".env": "KEY=1\n",
+    "node_modules/x.md": "no\n",
+    "img/a.png": "no\n",
+}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "corpus"
+    for name, text in TEXTS.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    return root
+
+
+@pytest.fixture
+def engine(spark, tree, tmp_path):
+    return Engine(spark, lambda: corpus.directory(spark, str(tree)), str(tmp_path / "store"))
+
+
+def test_index_query_refresh(engine, tree):
+    assert engine.query("cache").state == "index_missing"
+    first = engine.index()
+    assert first.state == "ok" and first.data["cards"] == 3 and first.data["files_to_card"] == 3
+    reasons = {r["path"]: r["reason"] for r in engine.store.table(first.data["generation"], "skipped").collect()}
+    assert reasons == {".env": "sensitive", "img/a.png": "binary_or_unsupported"}
+    assert not engine.staleness()["stale"]
+    got = engine.query("when does the cache expire entries")
+    assert got.state == "ok" and got.data["findings"][0]["path"] == "docs/cache.md" and got.data["findings"][0]["line"] == 2
+    (tree / "docs/auth.md").write_text("# Auth\nSessions live in Redis.\n")
+    assert engine.query("cache").state == "index_stale" and engine.staleness()["changed_files"] == 1
+    again = engine.refresh()
+    assert again.data["files_to_card"] == 1 and again.data["generation"] != first.data["generation"]
+    assert engine.query("zebra quagga").state == "unanswered"
+    brief = engine.brief()
+    assert set(brief.data["module_map"]) == {"docs", "src"} and brief.data["entry_points"][0]["path"] == "src/lib.rs"
+
+
+def test_index_stops_at_the_cap(engine):
+    assert engine.index(max_usd=0.0).state == "budget_hit" and engine.store.open() is None
+
+
+def told():
+    """A provider's factory, made here so that workers get it by value."""
+
+    class Told:
+        def answer(self, system, user, max_tokens):
+            line = "The cache expires entries after one hour."
+            if line in user:
+                return provider.Answer(json.dumps([{"fact": "one hour", "line": 2, "quote": line}, {"fact": "made up", "line": 2, "quote": "never said"}]), 10, 5)
+            if "Auth" in user:
+                raise provider.ProviderError("down")
+            return provider.Answer("no json", 1, 1)
+
+    return Told
+
+
+def test_provider_findings_pass_the_firewall(engine):
+    engine.index()
+    got = engine.query("cache entries expire sessions evict", factory=told())
+    assert [f["fact"] for f in got.data["findings"]] == ["one hour"] and got.state == "partial"
+    reasons = sorted(d["reason"] for d in got.data["dropped"])
+    assert reasons[0] == "provider_error: down" and "quote_not_in_file" in reasons and any(r.startswith("unparseable") for r in reasons)
+    assert got.spend["calls"] == 4
+
+
+def test_budget_refuses_chunks(engine):
+    engine.index()
+    got = engine.query("cache entries expire sessions evict", max_usd=0.007)
+    assert got.state == "partial" and any(d["reason"] == "budget_hit_before_chunk" for d in got.data["dropped"])
+
+
+def test_quotes_are_left_out_beyond_the_budget(engine):
+    engine.index()
+    got = engine.query("cache entries expire", budget_tokens=201)
+    assert all(f["quote"] is None and f["quote_omitted"] for f in got.data["findings"])
+
+
+def test_evaluation(engine, spark, tmp_path):
+    engine.index()
+    suite = {"queries": [
+        {"id": "a", "query": "when does the cache expire entries", "must_find": [{"id": "1", "fact": "cache entries expire", "file": "docs/cache.md", "line": 2}], "poison": [{"id": "p", "fact": "Redis expires cache entries"}]},
+        {"id": "b", "query": "zebra quagga", "must_find": [], "poison": [], "negative": True},
+    ]}
+    path = tmp_path / "suite.json"
+    path.write_text(json.dumps(suite))
+    got = engine.evaluate(corpus.suite(spark, str(path))).data
+    assert got["recall_pct"] == 100 and got["coverage_pct"] == 100 and got["poison"] == 0 and got["green"]
+
+
+def test_store_is_pinned_pruned_and_locked(spark, tmp_path):
+    store = Generations(spark, str(tmp_path / "s"))
+    df = spark.range(3)
+    names = [store.publish({"t": df}, {"n": i}) for i in range(5)]
+    kept = [n for n in store.names() if n.startswith("gen-")]
+    assert kept == sorted(names[-3:]) and store.open() == (names[-1], {"n": 4})
+    assert store.table(names[-1], "t").count() == 3
+    store.write("build.lock", json.dumps({"pid": -1, "started_at_ms": 10_000}))
+    with pytest.raises(Busy):
+        store.lock(now_ms=20_000)
+    store.lock(now_ms=10_000 + 16 * 60 * 1000)
+    store.write("build.lock", "torn")
+    with pytest.raises(Busy):
+        store.lock()
+
+
+def test_bucket_and_backoff():
+    now = [0.0]
+    bucket = provider.Bucket(60, lambda: now[0])
+    assert all(bucket.wait_s() == 0 for _ in range(60)) and bucket.wait_s() > 0
+    now[0] += 1
+    assert bucket.wait_s() == 0
+    assert provider.backoff_s(3, lambda a, b: b) == 8 and provider.backoff_s(9, lambda a, b: b) == 60
+
+
+def test_stream_makes_generations(spark, tmp_path):
+    source, top = tmp_path / "in", str(tmp_path / "store")
+    put = lambda rows: spark.createDataFrame(rows, "path string, text string").write.mode("append").parquet(str(source))
+    put([("a.md", "# A\nx"), ("b.md", "b"), (".env", "k")])
+    follow(spark, str(source), top, str(tmp_path / "cp")).awaitTermination(60)
+    put([("b.md", "b changed"), ("c.md", "c")])
+    follow(spark, str(source), top, str(tmp_path / "cp")).awaitTermination(60)
+    store = Generations(spark, top)
+    name, _ = store.open()
+    assert sorted(r["path"] for r in store.table(name, "cards").collect()) == ["a.md", "b.md", "c.md"]
+    hashes = {r["path"]: r["hash"] for r in store.table(name, "meta").collect()}
+    assert len(set(hashes.values())) == 3 and store.table(name, "skipped").count() == 1
+
+
+def test_ignore_rules_and_command_line(spark, tree, capsys):
+    rows = corpus.directory(spark, str(tree), ignore=["*.rs", "docs/", "!docs/auth.md", ".env"]).collect()
+    assert sorted(r["path"] for r in rows) == [".env", "docs/auth.md", "img/a.png"]
+    assert hint("indx") == "index" and hint("index") is None and hint("a question") is None and hint("evl") == "eval"
+    assert budget("8k") == 8000 and budget("12") == 12
+    assert main(["indx"]) == 2 and "index" in capsys.readouterr().out
+    assert main(["capabilities"]) == 0
