@@ -31,7 +31,7 @@ def propagate(spark: SparkSession, linked: DataFrame, quota: list[int], saved: S
 
     In each round a document looks at its neighbours' shards, as counts for each
     group and shard, and wishes to go where most of them are among shards with
-    room; on ties, to the lower number.  A shard's wishes are granted at random
+    room; ties are broken by lot, lest some shards fill up.  A shard's wishes are granted at random
     in the proportion of its room to them, so that its quota holds on average;
     ``settle`` makes it exact.
     """
@@ -40,12 +40,12 @@ def propagate(spark: SparkSession, linked: DataFrame, quota: list[int], saved: S
     for k in range(rounds):
         room = [max(0, q - n) for q, n in zip(quota, loads(now, shards))]
         counts = now.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
-        around = counts.groupBy("g1", "g2").agg(F.collect_list(F.struct("n", (-F.col("shard")).alias("low"))).alias("around"))
-        open_ = F.array_max(F.filter("around", lambda x: F.element_at(numbers(room), 1 - x["low"]) > 0))
+        around = counts.groupBy("g1", "g2").agg(F.collect_list(F.struct("n", F.xxhash64("g1", "shard").alias("lot"), "shard")).alias("around"))
+        open_ = F.array_max(F.filter("around", lambda x: F.element_at(numbers(room), x["shard"] + 1) > 0))
         best = around.select("g1", "g2", "around", open_.alias("best"))
         seen = now.join(best, ["g1", "g2"])
-        here = F.element_at(F.filter("around", lambda x: x["low"] == -F.col("shard")), 1)
-        to = F.when(F.coalesce(F.col("best") > here, F.lit(False)), -F.col("best.low")).otherwise(F.col("shard")).cast("int")
+        here = F.element_at(F.filter("around", lambda x: x["shard"] == F.col("shard")), 1)
+        to = F.when(F.coalesce(F.col("best") > here, F.lit(False)), F.col("best.shard")).otherwise(F.col("shard")).cast("int")
         wish = saved.write(seen.withColumn("to", to).drop("around", "best"))
         asked = loads(wish.where("to <> shard").select(F.col("to").alias("shard")), shards)
         if not sum(asked):
