@@ -22,6 +22,8 @@ WINDOW, HOP = 144, 72
 BANDS = (2, 8, 16, 28, 44, 73)
 #: A peak is over so many times its frame's mean; pairs span at most FAN peaks and SPAN frames.
 LOUD, FAN, SPAN = 1.5, 3, 63
+#: Least magnitude of a peak: a silent frame has none.
+FLOOR = 1e-6
 #: Frames transformed at once.
 BLOCK = 8_192
 
@@ -59,12 +61,13 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     window = np.hanning(WINDOW)
     best, top = [], []
     for i in range(0, len(frames), BLOCK):
-        power = np.abs(np.fft.rfft(frames[i : i + BLOCK] * window, axis=1))
+        part = frames[i : i + BLOCK]
+        power = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * window, axis=1))
         mean = power[:, BANDS[0] : BANDS[-1]].mean(axis=1) * LOUD
         bins = np.stack([power[:, a:b].argmax(axis=1) + a for a, b in zip(BANDS, BANDS[1:])], axis=1)
         value = np.take_along_axis(power, bins, axis=1)
         best.append(bins)
-        top.append(np.where(value > mean[:, None], value, 0.0))
+        top.append(np.where((value > mean[:, None]) & (value > FLOOR), value, 0.0))
     bins, value = np.concatenate(best), np.concatenate(top)
     beside = np.zeros_like(value)
     beside[1:] = value[:-1]
