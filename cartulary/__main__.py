@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--markdown-only", action="store_true")
     out.add_argument("--suite")
     out.add_argument("--pretty", action="store_true")
+    out.add_argument("--full", action="store_true", help="a query's whole envelope")
     return out
 
 
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from cartulary.plans.engine import Engine
+    from cartulary.plans.engine import Engine, compact
     from cartulary.sources import corpus
 
     spark = SparkSession.builder.appName("cartulary").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         out = engine.evaluate(corpus.suite(spark, args.suite))
     else:
         out = engine.query(args.command, max_usd=args.max_dollars, budget_tokens=args.budget)
-    print(json.dumps(asdict(out), indent=2 if args.pretty else None))
+    print(json.dumps(asdict(out) if args.full or args.command in fixed.COMMANDS else compact(out), indent=2 if args.pretty else None))
     return out.exit_code
 
 

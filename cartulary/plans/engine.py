@@ -6,6 +6,7 @@ a query's bounded findings only.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -22,6 +23,7 @@ from cartulary.plans.store import Generations
 from cartulary.sources import corpus
 
 ADAPTER_VERSION, CARD_PROMPT = "1", "card-1"
+MODEL_FIELDS = ("role", "invariants", "gotchas", "terms")
 
 
 @dataclass
@@ -64,12 +66,13 @@ class Engine:
     adapter, skip_reason) as ``corpus.walk`` and ``corpus.directory`` give it.
     """
 
-    def __init__(self, spark: SparkSession, files: Callable[[], DataFrame], store: str, churn: DataFrame | None = None, markdown_only: bool = False):
+    def __init__(self, spark: SparkSession, files: Callable[[], DataFrame], store: str, churn: DataFrame | None = None, markdown_only: bool = False, model: str = "none", ignore: tuple[str, ...] = ()):
         self.spark, self.files, self.churn, self.markdown_only = spark, files, churn, markdown_only
+        self.model, self.ignore = model, hashlib.sha256("\n".join(ignore).encode()).hexdigest()
         self.store = Generations(spark, store)
 
     def manifest(self) -> dict:
-        return {"schema_version": cards_.SCHEMA_VERSION, "card_prompt": CARD_PROMPT, "adapter_version": ADAPTER_VERSION, "markdown_only": self.markdown_only}
+        return {"schema_version": cards_.SCHEMA_VERSION, "card_prompt": CARD_PROMPT, "adapter_version": ADAPTER_VERSION, "model": self.model, "ignore_hash": self.ignore, "markdown_only": self.markdown_only}
 
     def old_cards(self) -> DataFrame | None:
         opened = self.store.open()
@@ -77,8 +80,12 @@ class Engine:
             return None
         return self.store.table(opened[0], "cards")
 
-    def index(self, max_usd: float | None = None) -> Envelope:
-        """A new generation; cards of unchanged files keep their model fields."""
+    def index(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None) -> Envelope:
+        """A new generation; cards of unchanged files keep their model fields.
+
+        With a provider's ``factory`` the others' model fields are written by it;
+        a file that it fails on is skipped with the reason and made next time.
+        """
         walked = self.files()
         files, old = corpus.accepted(walked), self.old_cards()
         work = cards_.to_card(files, old) if old is not None else files
@@ -87,16 +94,27 @@ class Engine:
         if max_usd is not None and cost["usd"] > max_usd:
             out.state = "budget_hit"
             return out
-        fresh = cards_.skeletons(files, self.churn)
-        if old is not None:
-            kept = old.select("path", "hash", *[F.col(c).alias(f"old_{c}") for c in ("role", "invariants", "gotchas")])
-            fresh = fresh.join(kept, ["path", "hash"], "left")
-            fresh = fresh.withColumns({c: F.coalesce(F.col(f"old_{c}"), F.col(c)) for c in ("role", "invariants", "gotchas")}).drop("old_role", "old_invariants", "old_gotchas")
+        fresh, skipped = cards_.skeletons(files, self.churn), corpus.rejected(walked)
+        model = [old.select("path", "hash", *[F.col(f"{c}.value").alias(f"m_{c}") for c in MODEL_FIELDS])] if old is not None else []
+        if factory:
+            made = seam.write_cards(work, factory).persist()
+            spend = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_tok", "out_tok", "retries")], F.count(F.lit(1)).alias("calls")).first().asDict()
+            out.spend = spend | {"usd": spend["in_tok"] / 1e6 * fixed.USD_IN + spend["out_tok"] / 1e6 * fixed.USD_OUT}
+            failed = made.where("error is not null").select("path", F.col("error").alias("reason"), F.lit(None).cast("string").alias("adapter"))
+            skipped = skipped.unionByName(failed)
+            fresh = fresh.join(failed.select("path"), "path", "left_anti")
+            model.append(made.where("error is null").select("path", "hash", *[F.col(c).alias(f"m_{c}") for c in MODEL_FIELDS]))
+        if model:
+            known = model[0] if len(model) == 1 else model[0].unionByName(model[1])
+            value = lambda c: cards_.hint(F.coalesce(F.col(f"m_{c}"), F.col(f"{c}.value")))
+            joined = fresh.join(known, ["path", "hash"], "left")
+            fresh = joined.withColumn("defined", F.col("terms.value")).withColumns({c: value(c) for c in MODEL_FIELDS}).drop(*[f"m_{c}" for c in MODEL_FIELDS])
+        else:
+            fresh = fresh.withColumn("defined", F.col("terms.value"))
         meta = files.select("path", "hash", *[c for c in ("size", "mtime_ms") if c in files.columns])
-        tables = {"cards": fresh, "terms": cards_.term_sets(cards_.skeletons(files), files), "meta": meta, "skipped": corpus.rejected(walked)}
+        tables = {"cards": fresh, "terms": cards_.term_sets(fresh, files), "meta": meta, "skipped": skipped}
         out.data["generation"] = self.store.publish(tables, self.manifest() | {"generated_at_ms": int(time.time() * 1000)})
-        skipped = self.store.table(out.data["generation"], "skipped")
-        reasons = skipped.agg(F.collect_set("reason").alias("r"))
+        reasons = self.store.table(out.data["generation"], "skipped").agg(F.collect_set("reason").alias("r"))
         n = self.store.table(out.data["generation"], "cards").count()
         out.state = reasons.select(report.index_state(F.lit(n), F.col("r"), F.col("r"))).first()[0]
         out.data["cards"] = n
@@ -122,8 +140,12 @@ class Engine:
         """Builds anew what is stale, unless that costs more than ``max_usd``."""
         return self.index(min(max_usd, fixed.REFRESH_USD)) if self.staleness()["stale"] else Envelope("index", data={"refreshed": False})
 
-    def query(self, text: str, factory: Callable[[], seam.Provider] | None = None, router: DataFrame | None = None, mode: str = "boundary_overlap", window: int = fixed.CHUNK_LINES, cap: int = fixed.CHUNK_CAP, max_usd: float | None = None, budget_tokens: int | None = None) -> Envelope:
-        """Findings that hold, of the current generation; refuses a stale index."""
+    def query(self, text: str, factory: Callable[[], seam.Provider] | None = None, router: DataFrame | None = None, routing: bool = False, mode: str = "boundary_overlap", window: int = fixed.CHUNK_LINES, cap: int = fixed.CHUNK_CAP, max_usd: float | None = None, budget_tokens: int | None = None) -> Envelope:
+        """Findings that hold, of the current generation; refuses a stale index.
+
+        ``router`` are candidates from outside; with ``routing`` the provider names
+        them.  Without ``factory`` the offline lexical extractor finds lines.
+        """
         opened = self.store.open()
         if not opened:
             return Envelope("query", "index_missing", {"hint": "build the index first"})
@@ -133,6 +155,8 @@ class Engine:
         files = corpus.accepted(self.files()).join(self.store.table(opened[0], "cards").select("path"), "path", "left_semi")
         picked = route.candidates(self.spark, self.store.table(opened[0], "terms"), text)
         none = self.spark.createDataFrame([], "path string, router_rank int, look_for string")
+        if router is None and factory and routing:
+            router = seam.route(self.store.table(opened[0], "cards"), factory, text)
         known = (router if router is not None else none).join(files.select("path"), "path", "left_semi")
         merged = route.merge(known, picked)
         cut = chunk.chunks(files.join(merged, "path"), mode, window)
@@ -216,5 +240,15 @@ def packed(findings: DataFrame, budget_tokens: int) -> DataFrame:
     return out.select(*cols, F.when(~F.col("z.omitted"), F.col("z.f.quote")).alias("quote"), F.col("z.omitted").alias("quote_omitted"))
 
 
+def compact(envelope: Envelope) -> dict:
+    """The envelope for reading: findings without scores, drops as counts by reason."""
+    data = dict(envelope.data)
+    data["findings"] = [{k: f.get(k) for k in ("path", "line", "fact", "quote", "match_tier") if f.get(k) is not None} for f in data.get("findings", [])]
+    counts: dict[str, int] = {}
+    for d in data.pop("dropped", []):
+        counts[d["reason"]] = counts.get(d["reason"], 0) + 1
+    return {"state": envelope.state, "command": envelope.command, "data": data | {"dropped_reasons": dict(sorted(counts.items()))}, "spend": envelope.spend}
+
+
 def capabilities() -> dict:
     return {"commands": list(fixed.COMMANDS), "states": dict(fixed.STATES), "chunk_modes": list(chunk.MODES), "limits": {"file_bytes": fixed.MAX_FILE_BYTES, "candidates": fixed.CANDIDATES, "chunk_cap": fixed.CHUNK_CAP}}

@@ -129,6 +129,86 @@ def ask(chunks: DataFrame, factory: Callable[[], Provider], query: str, parallel
     return sent.mapInPandas(asked(factory, query, max_tokens), "path string, first_line int, raw string, in_tok long, out_tok long, retries long, error string")
 
 
+CARD_WRITER = (
+    "You describe one file for an index. Answer with a JSON object only: role (one sentence), invariants (strings), "
+    "gotchas (strings), terms (strings). Say only what the text shows."
+)
+ROUTER = (
+    "You get a question and numbered files with their roles. Answer with a JSON object only: files, a list of objects "
+    "with path, look_for (what to look for there) and rank (1 is best). Name only paths from the list."
+)
+CARD = "struct<role:string,invariants:array<string>,gotchas:array<string>,terms:array<string>>"
+ROUTED = "struct<files:array<struct<path:string,look_for:string,rank:int>>>"
+HINTS, TERMS = 8, 12
+
+
+def written(factory: Callable[[], Provider], max_tokens: int):
+    """mapInPandas function: each file's card as the provider writes it, or its error."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = None
+        for batch in batches:
+            out = []
+            for path, hash_, text in zip(batch["path"], batch["hash"], batch["text"]):
+                try:
+                    provider = provider or factory()
+                    got = provider.answer(CARD_WRITER, f"FILE: {path}\n\n{redact_text(text)[0]}", max_tokens)
+                    out.append((path, hash_, got.text, got.in_tok, got.out_tok, got.retries, None))
+                except ProviderError as e:
+                    out.append((path, hash_, None, 0, 0, 0, f"provider_error: {str(e).replace(chr(10), ' ')[:200]}"))
+            yield pd.DataFrame(out, columns=["path", "hash", "raw", "in_tok", "out_tok", "retries", "error"])
+
+    return run
+
+
+def write_cards(files: DataFrame, factory: Callable[[], Provider], parallel: int = 50, max_tokens: int = 900) -> DataFrame:
+    """(path, hash, role, invariants, gotchas, terms, in_tok, out_tok, retries, error).
+
+    One call for each file, on its redacted beginning.  What can't be parsed has
+    null fields, so that the deterministic ones stay.
+    """
+    begun = files.select("path", "hash", F.left("text", F.lit(fixed.CARD_CHARS)).alias("text")).repartition(parallel, "path")
+    got = begun.mapInPandas(written(factory, max_tokens), "path string, hash string, raw string, in_tok long, out_tok long, retries long, error string")
+    card = F.from_json(jsonish(F.col("raw")), CARD)
+    role = F.when(F.trim(card["role"]) != "", F.left(F.trim(card["role"]), F.lit(fixed.ROLE_CHARS)))
+    return got.select("path", "hash", role.alias("role"), F.slice(card["invariants"], 1, HINTS).alias("invariants"), F.slice(card["gotchas"], 1, HINTS).alias("gotchas"), F.slice(card["terms"], 1, TERMS).alias("terms"), "in_tok", "out_tok", "retries", "error")
+
+
+def routed(factory: Callable[[], Provider], query: str, max_tokens: int):
+    """mapInPandas function: a page of (path, role) is one call; no answer, no rows."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = None
+        for batch in batches:
+            out = []
+            for listed in batch["listed"]:
+                try:
+                    provider = provider or factory()
+                    out.append(provider.answer(ROUTER, f"QUESTION: {query}\n\n{listed}", max_tokens).text)
+                except ProviderError:
+                    continue
+            yield pd.DataFrame({"raw": out}, dtype=object)
+
+    return run
+
+
+def route(cards: DataFrame, factory: Callable[[], Provider], query: str, page: int = 500, max_tokens: int = 4000) -> DataFrame:
+    """(path, router_rank, look_for) that the provider names for a query.
+
+    It sees paths and roles only, ``page`` at a time, so that no task or call grows
+    with the corpus; paths that no card has are discarded.  A page without a
+    usable answer adds nothing.
+    """
+    thin = cards.select("path", F.col("role.value").alias("role"))
+    pages = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / page)).alias("pages")
+    dealt = thin.join(F.broadcast(thin.agg(pages))).withColumn("page", F.pmod(F.xxhash64("path"), F.col("pages")))
+    listed = dealt.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "role"))), "\n").alias("listed"))
+    raw = listed.select("listed").mapInPandas(routed(factory, query, max_tokens), "raw string")
+    found = raw.select(F.explode_outer(F.from_json(jsonish(F.col("raw")), ROUTED)["files"]).alias("f")).where("f.path is not null")
+    named = found.select("f.path", F.coalesce("f.rank", F.lit(0)).alias("router_rank"), F.coalesce("f.look_for", F.lit("")).alias("look_for"))
+    return named.join(cards.select("path"), "path", "left_semi")
+
+
 def parsed(raw: Column) -> Column:
     """Findings of an answer; null if it is no JSON array."""
     return F.from_json(jsonish(raw), RAW)

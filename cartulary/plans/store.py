@@ -75,7 +75,7 @@ class Generations(Store):
             except (ValueError, KeyError):
                 stale = now - self.fs.getFileStatus(self.path("build.lock")).getModificationTime() > 10_000
             if not stale:
-                raise Busy(f"a build runs since {held['started_at_ms']}")
+                raise Busy("another build holds the lock")
             self.delete("build.lock")
         self.write("build.lock", json.dumps({"pid": os.getpid(), "started_at_ms": now}), new=True)
 

@@ -6,7 +6,7 @@ import pytest
 
 from cartulary.__main__ import budget, hint, main
 from cartulary.plans import provider
-from cartulary.plans.engine import Engine
+from cartulary.plans.engine import Engine, compact
 from cartulary.plans.store import Busy, Generations
 from cartulary.sources import corpus
 from cartulary.streaming.incremental import follow
@@ -81,6 +81,35 @@ def test_provider_findings_pass_the_firewall(engine):
     assert got.spend["calls"] == 4
 
 
+def test_provider_writes_cards_and_routes(engine, spark):
+    def made():
+        class Writer:
+            def answer(self, system, user, max_tokens):
+                if "QUESTION" in user:
+                    return provider.Answer(json.dumps({"files": [{"path": "docs/auth.md", "rank": 1, "look_for": "browser"}, {"path": "invented.md", "rank": 2}]}), 3, 3)
+                if "cache.md" in user:
+                    return provider.Answer(json.dumps({"role": " all about caching ", "invariants": list("abcdefghij"), "gotchas": [], "terms": ["ttl"]}), 7, 2)
+                if "lib.rs" in user:
+                    raise provider.ProviderError("down")
+                return provider.Answer("no json", 1, 1)
+
+        return Writer
+
+    got = engine.index(factory=made())
+    assert got.state == "partial" and got.spend["calls"] == 3 and got.spend["in_tok"] == 8
+    rows = {r["path"]: r for r in engine.store.table(got.data["generation"], "cards").collect()}
+    assert set(rows) == {"docs/cache.md", "docs/auth.md"}
+    assert rows["docs/cache.md"]["role"]["value"] == "all about caching" and len(rows["docs/cache.md"]["invariants"]["value"]) == 8
+    assert rows["docs/auth.md"]["role"]["value"] == "Auth"
+    again = engine.index()
+    rows = {r["path"]: r for r in engine.store.table(again.data["generation"], "cards").collect()}
+    assert again.data["files_to_card"] == 1 and rows["docs/cache.md"]["terms"]["value"] == ["ttl"] and len(rows) == 3
+    routed = provider.route(engine.store.table(again.data["generation"], "cards"), made(), "q").collect()
+    assert [tuple(r) for r in routed] == [("docs/auth.md", 1, "browser")]
+    short = compact(engine.query("cache entries expire"))
+    assert short["data"]["findings"] and "dropped" not in short["data"]
+
+
 def test_budget_refuses_chunks(engine):
     engine.index()
     got = engine.query("cache entries expire sessions evict", max_usd=0.007)
