@@ -24,12 +24,12 @@ def candidates(spark: SparkSession, term_sets: DataFrame, query: str, most: int
     if not wanted:
         return spark.createDataFrame([], f"{key} {dict(term_sets.dtypes)[key]}, score double")
     mine = F.array_intersect("terms", F.array(*[F.lit(t) for t in wanted]))
-    hits = term_sets.select(key, F.explode_outer(mine).alias("term"))
-    df = hits.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    summed = hits.join(F.broadcast(df), "term", "left").groupBy(key).agg(F.coalesce(F.sum(1 / F.col("df")), F.lit(0.0)).alias("score"))
     named = F.lower(F.col(key).cast("string")).contains(query.lower())
-    out = summed.select(key, F.round(F.col("score") + F.when(named, 2.0).otherwise(0.0), 6).alias("score"))
-    out = out.where("score > 0")
+    # dealt by key once: over a stored table of terms, counting and scoring read the same exchange
+    hits = term_sets.select(key, F.explode_outer(mine).alias("term")).where(F.col("term").isNotNull() | named).repartition(key)
+    df = hits.groupBy("term").agg(F.count("term").alias("df"))
+    summed = hits.join(F.broadcast(df), "term", "left").groupBy(key).agg(F.coalesce(F.sum(1 / F.col("df")), F.lit(0.0)).alias("score"))
+    out = summed.select(key, F.round(F.col("score") + F.when(named, 2.0).otherwise(0.0), 6).alias("score")).where("score > 0")
     return out.orderBy(F.desc("score"), key).limit(most) if most else out
 
 
