@@ -101,7 +101,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, pattern: str, te
     encoded where it occurs, so results don't depend on the sample.
     """
     pre, seen = PreTokens(path, pattern, {}), Counter()
-    for (text,) in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).limit(texts).toLocalIterator():
+    for (text,) in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).take(texts):
         seen.update(pre.pattern.findall(text))
     names = [t for t, n in seen.most_common(most) if n > 1 and not (pre.special and pre.special.search(t))]
     return dict(zip(names, pre.encode(names))) if names else {}
