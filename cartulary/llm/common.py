@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows that one numbering task sorts, on average.
-NUMBERING_ROWS = 50_000
+#: Rows that one numbering task sorts, on average, and the least number of such tasks.
+NUMBERING_ROWS, LEAST_BUCKETS = 10_000, 64
 #: Most rows of numbers that are broadcast, some 50 MB in memory.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,12 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Saved:
     """Tables written to the shared folder, so that lineage ends there and an
-    executor's loss costs nothing that was finished."""
+    executor's loss costs nothing that was finished.
+
+    Results read them lazily, so they stay until ``sweep``, which a job calls when
+    it has written what it wants.
+    """
+
+    tops: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.top = f"{shared_folder(spark)}/cartulary-{uuid.uuid4().hex}"
         self.count = 0
+        self.tops.append(self.top)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{self.count}"
@@ -52,8 +60,18 @@ class Saved:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of ``write`` that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df._saved_at)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this process's operators have saved."""
+    while Saved.tops:
+        delete(spark, Saved.tops.pop())
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -78,7 +96,7 @@ def gapless(df: DataFrame, group: list[str], order: list[Column], out: str, rows
     interchangeable, so the numbering depends on values alone.
     """
     n = df.count() if rows is None else rows
-    buckets = max(1, -(-n // NUMBERING_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-n // NUMBERING_ROWS))
     b, at = pick(df.columns, "_bucket"), pick(df.columns, "_offset")
     keyed = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(*group, b).agg(F.count(F.lit(1)).alias(at))
