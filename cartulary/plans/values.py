@@ -12,7 +12,7 @@ def text(*lines: str) -> str:
 
 
 PATHS = table("paths", "path", *[f"'{p}'" for p in (
-    "src/main.rs", ".env", "app/.env.local", "prod.env", ".env.d/settings.md", "home/.ssh/config", ".aws/credentials", "a/.kube/x", ".docker/config.json",
+    "src/walk.rs", ".env", "app/.env.local", "prod.env", ".env.d/settings.md", "home/.ssh/config", ".aws/credentials", "a/.kube/x", ".docker/config.json",
     ".gnupg/ring", ".azure/a", ".config/gcloud/token", "x/.config/other", "deploy/id_rsa", "deploy/id_rsa.pub", "id_ed25519_backup", "keys/server.PEM",
     "certs/site.crt", "a.cer", "b.pfx", "c.jks", "d.keystore", "e.ppk", "f.asc", "g.gpg", ".netrc", "pkg/.npmrc", ".pypirc", ".pgpass", ".htpasswd",
     "my_credentials.txt", "docs/keyboard.md", "environment.md", "tokens/readme.md")])
