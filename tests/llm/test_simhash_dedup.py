@@ -109,3 +109,15 @@ def test_whole_table_equals_brute_force(spark, sf):
 
     got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in QUERIES["op6_simhash_dedup"](spark, sf).collect()}
     assert got == {i: (prints[i], want[i]) for i in ids}
+
+
+def test_saved_tables_are_swept(spark):
+    from cartulary.llm.common import shared_folder, sweep
+    from cartulary.plans.store import Store
+
+    saved = Saved(spark)
+    saved.write(spark.range(3))
+    store = Store(spark, shared_folder(spark))
+    assert any(n.startswith("cartulary-") for n in store.names())
+    sweep(spark)
+    assert not any(n.startswith("cartulary-") for n in store.names())
