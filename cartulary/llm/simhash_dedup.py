@@ -216,5 +216,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     marked = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     found = marked.join(grouped(spark, marked, "n", radius, saved).select("fp", "root"), "fp")
     best = found.groupBy("root").agg(F.min_by("n", F.struct(F.col("id").isNull(), "id", "n")).alias("best"))
-    gone = saved.write(found.join(best, "root").where("n <> best").select("n"))
+    best = saved.write(best)
+    gone = saved.write(found.join(small(best), "root").where("n <> best").select("n"))
     return rows.join(small(gone), F.col(row) == F.col("n"), "left_anti").select(*docs.columns)
