@@ -43,6 +43,7 @@ def propagate(spark: SparkSession, linked: DataFrame, quota: list[int], saved: S
         around = counts.groupBy("g1", "g2").agg(F.collect_list(F.struct("n", F.xxhash64("g1", "shard").alias("lot"), "shard")).alias("around"))
         open_ = F.array_max(F.filter("around", lambda x: F.element_at(numbers(room), x["shard"] + 1) > 0))
         best = around.select("g1", "g2", "around", open_.alias("best"))
+        best = saved.write(best)  # so that the join's sides are plain, and a large group's can be split
         seen = now.join(best, ["g1", "g2"])
         here = F.element_at(F.filter("around", lambda x: x["shard"] == F.col("shard")), 1)
         to = F.when(F.coalesce(F.col("best") > here, F.lit(False)), F.col("best.shard")).otherwise(F.col("shard")).cast("int")
@@ -53,8 +54,8 @@ def propagate(spark: SparkSession, linked: DataFrame, quota: list[int], saved: S
         odds = [min(1.0, r / a) if a else 0.0 for r, a in zip(room, asked)]
         granted = chance(F.lit(seed + k), F.col("tie"), F.col("unit")) < F.element_at(numbers(odds), F.col("to") + 1)
         was, now = now, saved.write(wish.withColumn("shard", F.when(granted, F.col("to")).otherwise(F.col("shard"))).drop("to"))
-        saved.drop(was)
-        saved.drop(wish)
+        for old in (was, wish, best):
+            saved.drop(old)
     return now
 
 
