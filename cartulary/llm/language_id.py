@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -168,35 +169,38 @@ def scored(net: Network, texts: list[str]) -> Iterator[tuple[str, float]]:
         yield net.langs[best], float(min(1.0, s[best] / w)) if w else 0.0
 
 
-def predictor(net: Network | None):
-    """Column function from texts to (lang_pred, score)."""
+def predictor(net: Network | None, unlearnt: str = NONE):
+    """Column function from texts to (lang_pred, score); without a network a text
+    with a letter is ``unlearnt``."""
 
     @pandas_udf(PREDICTION)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        plain = [bool(t) and any(map(str.isalpha, t)) for t in texts] if net else [False] * len(texts)
-        found = scored(net, [t for t, ok in zip(texts, plain) if ok]) if net else iter(())
+        plain = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+        found = scored(net, [t for t, ok in zip(texts, plain) if ok]) if net else repeat((unlearnt, 0.0))
         return pd.DataFrame([next(found) if ok else (NONE, 0.0) for ok in plain], columns=PREDICTION.names)
 
     return predict
 
 
-def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", names: tuple[str, str] = ("lang_pred", "score"), **bounds: int) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", names: tuple[str, str] = ("lang_pred", "score"), unlearnt: str = NONE, **bounds: int) -> DataFrame:
     """``docs`` with the predicted language and its probability as ``names``.
 
     The network learns from a bounded sample (``per_lang``, ``each``) of labelled
     rows that aren't held out, and then reads every whole text, window by window;
     label and id play no part in a prediction.  A text that is null or has no
-    letter is "und" with score 0, and so is every text if there is no labelled
-    row.  Repeated rows get equal predictions; an empty table gives none; a
+    letter is "und" with score 0; if there is no labelled row, the others are
+    ``unlearnt`` with score 0.  Repeated rows get equal predictions; an empty table gives none; a
     column with one of ``names`` is replaced.
     """
-    found = predictor(learn(docs, id_col, text_col, lang_col, **bounds))(F.col(text_col))
+    found = predictor(learn(docs, id_col, text_col, lang_col, **bounds), unlearnt)(F.col(text_col))
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     got = docs.withColumn(f"{names[0]}_{names[1]}_", found)
     return got.select(*keep, F.col(f"{names[0]}_{names[1]}_.lang_pred").alias(names[0]), F.col(f"{names[0]}_{names[1]}_.score").alias(names[1]))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that have no language: null texts and those without a letter."""
+    """``docs`` without the rows that have no language: null texts and those
+    without a letter, whatever the label, prediction or score, and also if there
+    is no labelled row to learn from."""
     names = ("lang_pred_of_row", "score_of_row")
-    return identify(spark, docs, names=names, **options).where(F.col(names[0]) != NONE).select(*docs.columns)
+    return identify(spark, docs, names=names, unlearnt="", **options).where(F.col(names[0]) != NONE).select(*docs.columns)

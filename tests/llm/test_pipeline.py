@@ -37,3 +37,10 @@ def test_run_is_the_stages_in_order(spark, sf):
 def test_rejects_only_what_has_no_language(spark):
     df = spark.createDataFrame([(1, "words here", "en"), (2, "123 !!", "en"), (3, None, "en"), (4, "Ünï", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in language_id.accepted(spark, df).collect()} in ({1, 4}, set())
+
+
+def test_keeps_every_text_with_a_letter_without_labels(spark):
+    """Ids 0 and 1 are not held out; with and without a label to learn from."""
+    for lang in ("en", None):
+        df = spark.createDataFrame([(i, t, lang) for i, t in enumerate(["words here", "123 !!", None, "Ünï", "more", ""])], "doc_id long, text string, lang string")
+        assert {r["doc_id"] for r in language_id.accepted(spark, df).collect()} == {0, 3, 4}
