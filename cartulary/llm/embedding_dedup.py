@@ -23,30 +23,31 @@ NEAR = 40
 
 
 def fit(sample: np.ndarray, codes: int = CODES, alternations: int = ALTERNATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): for each code a d x 64 matrix, learnt by ITQ.
+    """(origin, projections): for each code a d x 64 matrix, learnt by ITQ.
 
-    The sample is centred and projected on its principal directions; from a
+    Links go by the angle at zero, so the origin is zero: about the mean, a common
+    part of all vectors would open the angle.  The sample is projected on its
+    principal directions there; from a
     random rotation on, codes as signs and the rotation nearest to them (by an
     SVD) take turns, so that bits are balanced and lose little.  Fewer than 64
     dimensions are first spread over 64 by random directions.
     """
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0)
-    centred, d = sample - mean, sample.shape[1]
-    basis = np.linalg.svd(np.cov(centred.T).reshape(d, d) + 1e-12 * np.eye(d))[0][:, :BITS]
+    d = sample.shape[1]
+    basis = np.linalg.svd(sample.T @ sample / len(sample) + 1e-12 * np.eye(d))[0][:, :BITS]
     if basis.shape[1] < BITS:
         basis = basis @ rng.standard_normal((basis.shape[1], BITS))
-    v, out = centred @ basis, []
+    v, out = sample @ basis, []
     for _ in range(codes):
         r = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
         for _ in range(alternations):
             left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (left @ right).T
         out.append(basis @ r)
-    return mean, np.stack(out)
+    return np.zeros(d), np.stack(out)
 
 
-def coder(mean: np.ndarray, projections: np.ndarray):
+def coder(origin: np.ndarray, projections: np.ndarray):
     """Column function from vectors to their codes, an array of longs."""
 
     @pandas_udf(T.ArrayType(T.LongType()))
@@ -54,7 +55,7 @@ def coder(mean: np.ndarray, projections: np.ndarray):
         if not len(vectors):
             return pd.Series([], dtype=object)
         x = np.stack(vectors.to_numpy()).astype(np.float64)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - mean
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) - origin
         bits = np.stack([np.packbits(x @ p >= 0, axis=1, bitorder="little").view(np.int64)[:, 0] for p in projections], axis=1)
         return pd.Series(list(bits))
 
@@ -115,8 +116,8 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.9,
     taken = good.select("h1", "h2", "v").orderBy("h1", "h2").limit(sample).select("v").collect()
     if len(taken):
         x = np.array([r[0] for r in taken], np.float64)
-        mean, projections = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
-        classes = saved.write(good.select("cid", coder(mean, projections)(F.col("v")).alias("codes")))
+        origin, projections = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+        classes = saved.write(good.select("cid", coder(origin, projections)(F.col("v")).alias("codes")))
         pairs = candidates(classes)
     else:
         pairs = spark.createDataFrame([], "a long, b long")

@@ -65,3 +65,17 @@ def test_whole_table(spark, sf):
     for i, r in enumerate(rows):
         g = got[r["vec_id"]]
         assert g["n_links"] <= want[i].sum() - 1 and g["kept"] == (g["component_id"] == g["vec_id"])
+
+
+def test_recall_with_a_large_common_mean(spark):
+    """Pairs at cosines just over the bound among vectors at cosine 0.5 or 0.7 of each other."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for common in (0.5, 0.7):
+        rng = np.random.default_rng(4)
+        a = unit(unit(rng.standard_normal(64)) * np.sqrt(common) + unit(rng.standard_normal((300, 64))) * np.sqrt(1 - common))
+        t = rng.standard_normal(a.shape)
+        t = unit(t - (t * a).sum(axis=1, keepdims=True) * a)
+        x = np.concatenate([a, 0.905 * a + np.sqrt(1 - 0.905**2) * t]).astype(np.float32)
+        true = int(np.triu(brute(x.astype(np.float64)), 1).sum())
+        found = sum(r["n_links"] for r in run(spark, list(enumerate(x))).values()) // 2
+        assert true >= 300 and true >= found >= 0.95 * true, (common, found, true)
