@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: Rows that one numbering task sorts, on average, and the least number of such tasks.
 NUMBERING_ROWS, LEAST_BUCKETS = 10_000, 64
-#: Most rows of numbers that are broadcast, some 50 MB in memory.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a table that is broadcast, and what a row takes besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 40
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,11 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a fresh folder is
-    chosen and kept in the session.
+    Where it is unset and all of Spark runs in this process (tests), a fresh folder
+    is chosen and kept in the session; on a cluster that is refused, since no
+    machine's own folder is shared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -75,9 +78,24 @@ def sweep(spark: SparkSession) -> None:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table, with a broadcast hint only if it is within BROADCAST_ROWS
-    rows; otherwise Spark joins by shuffles."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """A written table, with a broadcast hint only if its rows take BROADCAST_BYTES at
+    most; otherwise Spark joins by shuffles.
+
+    Numbers count as 8 bytes and arrays and strings by their length, so the bound
+    is on bytes, whatever the rows hold.
+    """
+    fixed, grows = ROW_BYTES, []
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            grows.append(F.octet_length(f.name))
+        elif isinstance(f.dataType, T.ArrayType):
+            grows.append(8 * F.size(f.name))
+        else:
+            fixed += 8 * (len(f.dataType.fields) if isinstance(f.dataType, T.StructType) else 1)
+    bytes_ = table.count() * fixed
+    if grows and bytes_ <= BROADCAST_BYTES:
+        bytes_ += sum(n or 0 for n in table.agg(*map(F.sum, grows)).first())
+    return F.broadcast(table) if bytes_ <= BROADCAST_BYTES else table
 
 
 def pick(names: list[str], wish: str) -> str:
