@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import os
 import re
 import uuid
@@ -18,10 +17,13 @@ from pyspark.sql import functions as F
 from cartulary.llm.common import Saved
 
 #: Tokens of one sequence, its most pieces, and its most attention cost (the
-#: sum of its pieces' squared lengths, as for attention within documents).
+#: sum of its pieces' squared lengths, as for attention within documents).  As
+#: given neither pieces nor cost can take a sequence more than tokens alone do.
 CAPACITY = 4096
-MOST_PIECES = 1024
+MOST_PIECES = CAPACITY
 MOST_COST = CAPACITY * CAPACITY
+#: What a full share of tokens, pieces and cost left over weighs in the norm.
+WEIGHTS = (1.0, 0.1, 0.1)
 #: Pieces that one task packs, on average.
 PACK_ROWS = 20_000
 #: Most words that a worker remembers; beyond it starts anew.
@@ -156,55 +158,40 @@ def pieces(batches: Iterable[pd.DataFrame], key: str, path: str, end_id: int, ca
         yield frame.astype({"id": "Int64"})
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, most_pieces: int = MOST_PIECES, most_cost: int = MOST_COST) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, most_pieces: int = MOST_PIECES, most_cost: int = MOST_COST, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece by vector best-fit decreasing.
 
     A piece is a vector: its tokens, one document and its attention cost.  Pieces
-    come in falling length; of the open bins that hold it under every constraint
-    each takes the one whose residual vector, each part over its capacity, has
-    the least norm with tokens weighing most, and a new bin if none holds it.
-    Tokens left decide first, so bins are looked up by these, and among bins with
-    as many left a heap has the least rest of documents and cost on top.
+    come in falling length; of all open bins that hold one under every constraint
+    it takes that whose residual vector, each part over its capacity, then has the
+    least weighted norm (the oldest of equals), and a new bin if none holds it.  A
+    piece whose cost alone is over the capacity has a bin of its own.
     """
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
-    open_at = np.zeros(capacity + 1, bool)
-    count: list[int] = []
-    cost: list[int] = []
-
-    def rest(b: int) -> float:
-        return ((most_pieces - count[b]) / most_pieces) ** 2 + ((most_cost - cost[b]) / most_cost) ** 2
-
+    full = np.array([capacity, most_pieces, most_cost], np.float64)
+    scale = np.array(weights) / full**2
+    rest, name = np.zeros((3, 64)), np.zeros(64, np.int64)  # of open bins; so many are in use:
+    used, made, least = 0, 0, int(lengths.min()) if len(lengths) else 0
     for i in order.tolist():
         n = int(lengths[i])
-        taken, left = -1, n
-        while taken < 0 and left <= capacity:
-            step = int(open_at[left:].argmax())
-            if not open_at[left + step]:
-                break
-            left += step
-            heap, over = heaps[left], []
-            while heap and taken < 0:
-                top = heapq.heappop(heap)
-                if cost[top[1]] + n * n <= most_cost:
-                    taken = top[1]
-                else:
-                    over.append(top)
-            for top in over:
-                heapq.heappush(heap, top)
-            open_at[left] = bool(heap)
-            left += taken < 0
-        if taken < 0:
-            taken, left = len(count), capacity
-            count.append(0)
-            cost.append(0)
-        bins[i], offsets[i] = taken, capacity - left
-        count[taken] += 1
-        cost[taken] += n * n
-        if left > n and count[taken] < most_pieces:
-            heapq.heappush(heaps[left - n], (rest(taken), taken))
-            open_at[left - n] = True
+        piece = np.array([n, 1, n * n], np.float64)[:, None]
+        after = rest[:, :used] - piece
+        fits = np.flatnonzero((after >= 0).all(axis=0))
+        if len(fits):
+            at = int(fits[(scale @ after[:, fits] ** 2).argmin()])
+        else:
+            if used == len(name):
+                open_ = np.flatnonzero((rest[0] >= least) & (rest[1] >= 1) & (rest[2] >= least * least))
+                used = len(open_)
+                rest[:, :used], name[:used] = rest[:, open_], name[open_]
+                if used * 2 > len(name):
+                    rest, name = np.hstack([rest, np.zeros_like(rest)]), np.hstack([name, np.zeros_like(name)])
+            at, used = used, used + 1
+            rest[:, at], name[at] = full, made
+            made += 1
+        bins[i], offsets[i] = name[at], capacity - rest[0, at]
+        rest[:, at] -= piece[:, 0]
     return bins, offsets
 
 
@@ -225,16 +212,17 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 1, capac
 
     A document is its text's ids (null: none) and ``end_id``; ``path`` names a
     tokenizer whose pre-tokens hold no white space.  Longer documents alone are
-    cut, into pieces of ``capacity`` and a rest.  Columns: the id, ``piece``,
-    ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.  Groups
-    of about ``rows`` pieces, dealt by a hash of id, text and piece, are packed
-    at once, each with less than two sequences to spare, so no task's work grows
-    with the input.  A constraint of 0 documents or cost makes no sense and is
-    refused; repeated rows are packed each; an empty table gives none; other
-    columns are not read.
+    cut, into pieces of ``capacity`` and a rest.  A sequence has ``most_pieces``
+    pieces and ``most_cost`` of attention cost at most; a piece that costs more
+    has a sequence of its own.  Columns: the id, ``piece``, ``start``, ``length``,
+    ``ids_crc32``, ``sequence_id`` and ``offset``.  Groups of about ``rows``
+    pieces, dealt by a hash of id, text and piece, are packed at once, each with
+    less than two sequences to spare, so no task's work grows with the input.
+    Capacities under 1 are refused; repeated rows are packed each; a null id stays
+    null; an empty table gives none; other columns are not read.
     """
-    if min(capacity, most_pieces, most_cost - capacity * capacity + 1) < 1:
-        raise ValueError("a piece of full length must fit an empty sequence")
+    if min(capacity, most_pieces, most_cost) < 1:
+        raise ValueError("a sequence must hold a token, a piece and its cost")
     saved = Saved(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("tie"), F.col(text_col).alias("text"))
     cut = saved.write(own.mapInPandas(piece_rows(path, end_id, capacity), "id long, tie long, piece int, start long, length long, ids_crc32 long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,15 +16,36 @@ from cartulary.llm.components import components
 
 #: Vectors that rotations are fitted on, and their alternations.
 SAMPLE, ALTERNATIONS = 4_096, 40
-#: Codes, each a rotation's 64 bits; bits of one table's key.
-CODES, KEY = 2, 16
+#: Bits of a code, one rotation's; least and most bits of a table's key.
 BITS = 64
-#: Codes of two linked vectors differ in at most so many of CODES * BITS bits:
-#: at cosine 0.9 in 18 on average, with a deviation of 4.
-NEAR = 40
+KEYS = (16, 32)
+#: Odds that the tables miss a pair just at the least cosine, were bits independent.
+MISS = 0.055
+#: Deviations by which codes of linked vectors may differ more than on average.
+SPREAD = 4
+
+
+def tables_for(n: int, least: float) -> tuple[int, int]:
+    """(bits of a key, codes) for ``n`` vectors linked at cosine ``least``.
+
+    A key has as many bits as the number of vectors has, so that a bucket's size
+    stays the same however many there are; longer keys are missed more often and
+    take more tables, of which a code has BITS // bits.
+    """
+    bits = min(KEYS[1], max(KEYS[0], math.ceil(math.log2(max(n, 2)))))
+    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    tables = math.ceil(math.log(MISS) / math.log(1 - hit)) if hit < 1 else 1
+    return bits, -(-tables // (BITS // bits))
+
+
+def near_bits(least: float) -> int:
+    """Most bits of one code in which linked vectors differ."""
+    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return min(BITS, math.floor(p * BITS + SPREAD * math.sqrt(p * (1 - p) * BITS)))
 
 
-def fit(sample: np.ndarray, codes: int = CODES, alternations: int = ALTERNATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def fit(sample: np.ndarray, codes: int = 2, alternations: int = ALTERNATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """(origin, projections): for each code a d x 64 matrix, learnt by ITQ.
 
     Links go by the angle at zero, so the origin is zero: about the mean, a common
@@ -74,27 +97,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-def candidates(classes: DataFrame, codes: int = CODES, near: int = NEAR) -> DataFrame:
+def candidates(classes: DataFrame, bits: int, codes: int, near: int) -> DataFrame:
     """(a, b), a < b, of classes whose codes agree in a table up to one bit.
 
-    A code is cut into keys of KEY bits, one Hamming table each.  A vector stands
-    in each table under its key and asks under that and all keys one bit away.
-    Of the tables that find a pair, the first alone returns it.
+    A code is cut into keys of ``bits`` bits, one Hamming table each.  A vector
+    stands in each table under its key; it asks under that and under those that
+    have one more bit set, so that of two keys one bit apart one asks for the
+    other.  A row carries the id, the key with its table's number, and the first
+    code, by which most strangers in a bucket go before anything else is read.
     """
-    masks = [((1 << KEY) - 1) << at for at in range(0, BITS, KEY)]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    tables = [(c, m) for c in range(codes) for m in signed]
-    parts = F.array(*[F.col("codes")[c].bitwiseAND(F.lit(m)) for c, m in tables])
-    flips = [[0, *((1 << b) - (1 << BITS) if b == BITS - 1 else 1 << b for b in range(at, at + KEY))] for at in range(0, BITS, KEY)] * codes
-    stands = classes.select(F.col("cid").alias("b"), F.col("codes").alias("y"), F.posexplode(parts).alias("t", "key"))
-    asks = classes.select(F.col("cid").alias("a"), F.col("codes").alias("x"), F.posexplode(parts).alias("t", "part"))
-    asks = asks.withColumn("flip", F.explode(F.element_at(F.array(*[F.array(*[F.lit(f).cast("long") for f in fs]) for fs in flips]), F.col("t") + 1)))
-    asks = asks.select("a", "x", "t", F.col("part").bitwiseXOR(F.col("flip")).alias("key"))
-    apart = [F.bit_count(F.col("x")[c].bitwiseXOR(F.col("y")[c])) for c in range(codes)]
-    found = (F.col("a") < F.col("b")) & (sum(apart[1:], apart[0]) <= near)
-    for i, (c, m) in enumerate(tables):
-        found &= (F.col("t") <= i) | (F.bit_count(F.col("x")[c].bitwiseXOR(F.col("y")[c]).bitwiseAND(F.lit(m))) > 1)
-    return asks.join(stands, ["t", "key"]).where(found).select("a", "b")
+    mask = (1 << bits) - 1
+    parts = [F.shiftrightunsigned(F.col("codes")[c], at * bits).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((c * (BITS // bits) + at) << bits)) for c in range(codes) for at in range(BITS // bits)]
+    stands = classes.select("cid", F.col("codes")[0].alias("code"), F.explode(F.array(*parts)).alias("key"))
+    more = [F.when(F.col("key").bitwiseAND(F.lit(1 << i)) == 0, F.col("key").bitwiseOR(F.lit(1 << i))) for i in range(bits)]
+    asks = stands.select(F.col("cid").alias("a"), F.col("code").alias("x"), F.posexplode(F.array(F.col("key"), *more)).alias("flip", "key")).where("key is not null")
+    met = asks.join(stands.select(F.col("cid").alias("b"), F.col("code").alias("y"), "key"), "key")
+    met = met.where(((F.col("flip") > 0) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= near))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -104,21 +123,24 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.9,
     ``sample`` vectors, those with the least hashes; every vector is indexed.
     Equal vectors are one class and never paired: their links are counted as
     sizes.  Candidate pairs are reranked by the vectors themselves, so no link is
-    false; few are missed (see README).  Vectors that aren't ``usable`` have no
-    link and are their own component; repeated rows are vectors of their own; an
-    empty table gives none.  All vectors are of one length.
+    false; few are missed (see README).  Vectors that aren't ``usable``, or of
+    another length than most are, have no link and are their own component;
+    repeated rows are vectors of their own; an empty table gives none.
     """
     saved = Saved(spark)
     h = [F.xxhash64(vector_col).alias("h1"), F.xxhash64(F.lit(42), F.col(vector_col)).alias("h2")]
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), usable(F.col(vector_col)).alias("ok"), *h)
+    common = rows.where("ok").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == (common["d"] if common else 0)))
     good = rows.where("ok").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.first("v").alias("v"))
     good = saved.write(good.withColumn("cid", F.monotonically_increasing_id()))
     taken = good.select("h1", "h2", "v").orderBy("h1", "h2").limit(sample).select("v").collect()
     if len(taken):
         x = np.array([r[0] for r in taken], np.float64)
-        origin, projections = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+        bits, codes = tables_for(good.count(), least)
+        origin, projections = fit(x / np.linalg.norm(x, axis=1, keepdims=True), codes)
         classes = saved.write(good.select("cid", coder(origin, projections)(F.col("v")).alias("codes")))
-        pairs = candidates(classes)
+        pairs = candidates(classes, bits, codes, near_bits(least))
     else:
         pairs = spark.createDataFrame([], "a long, b long")
     ends = good.select(F.col("cid"), "n", "v")

@@ -117,7 +117,9 @@ def excerpts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lan
     place = [F.pmod(F.xxhash64(id_col, F.lit(k)), F.greatest(F.length(text_col) - WINDOW, F.lit(1))) + 1 for k in range(each)]
     cuts = F.array(*[F.substring(F.col(text_col), p.cast("int"), F.lit(WINDOW)) for p in place])
     taken = known.where(share < F.element_at(part, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.explode(cuts).alias("cut"))
-    return sorted((r[0], r[1]) for r in taken.limit(2 * per_lang * each * len(counts)).collect())
+    most = 2 * per_lang * each * len(counts)
+    order = [F.xxhash64("cut"), F.col("lang"), F.col("cut")]  # so that equal ids, which share a hash, are bounded alike each time
+    return sorted((r[0], r[1]) for r in taken.orderBy(*order).limit(most).collect())
 
 
 def held_out(id_: Column) -> Column:

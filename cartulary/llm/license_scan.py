@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.common import pick
-from cartulary.llm.license_rules import ANCHOR, BASE, BASE_SCORE, Rule, rules
+from cartulary.llm.license_rules import ANCHORS, BASE, BASE_SCORE, CC_BY, Rule, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of characters that no word has, of lower-cased text; words of raw text.
@@ -17,7 +17,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Stands before a match's first word; no word has it.
 MARK = "\u0001"
-GROUPS = "array<struct<keyword:string,rules:array<struct<label:string,pattern:string,priority:int,score:double>>>>"
+GROUPS = "array<array<struct<label:string,pattern:string,priority:int,score:double>>>"
 
 
 def normalised(text: Column) -> Column:
@@ -29,10 +29,21 @@ def whole(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
+def anchored(text: Column, low: Column) -> Column:
+    """Whether a raw text (``low``: lower-cased) may hold a match of any rule at all."""
+    out = F.contains(low, F.lit("cc")) & F.rlike(text, F.lit(CC_BY))
+    for word in ANCHORS:
+        out = F.contains(low, F.lit(word)) | out
+    return out
+
+
+def by_keyword(all_rules: list[Rule]) -> list[tuple[str, list[Rule]]]:
+    return [(k, list(rs)) for k, rs in groupby(sorted(all_rules, key=lambda r: r.keyword), lambda r: r.keyword)]
+
+
 def grouped(all_rules: list[Rule]) -> Column:
     """Rules by keyword, as one literal."""
-    by_key = sorted(all_rules, key=lambda r: r.keyword)
-    found = [{"keyword": f" {k} ", "rules": [{"label": r.label, "pattern": whole(r.pattern), "priority": r.priority, "score": r.score} for r in rs]} for k, rs in groupby(by_key, lambda r: r.keyword)]
+    found = [[{"label": r.label, "pattern": whole(r.pattern), "priority": r.priority, "score": r.score} for r in rs] for _, rs in by_keyword(all_rules)]
     return F.from_json(F.lit(json.dumps(found)), GROUPS)
 
 
@@ -42,13 +53,15 @@ def starts(norm: Column, pattern: Column) -> Column:
     return F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i)), lambda i: i.isNotNull())
 
 
-def detections(norm: Column, groups: Column) -> Column:
+def detections(norm: Column, all_rules: list[Rule]) -> Column:
     """(start, minus end, minus priority, label, score) of every match, sorted.
 
-    A group of rules is tried only where its keyword stands.
+    A group's rules are tried one by one only where its keyword stands and one
+    pattern of them all matches: that one is a literal, which is compiled once.
     """
-    near = F.filter(groups, lambda g: F.contains(norm, g["keyword"]))
-    fits = F.flatten(F.transform(near, lambda g: F.filter(g["rules"], lambda r: F.rlike(norm, r["pattern"]))))
+    any_of = [F.contains(norm, F.lit(f" {k} ")) & F.rlike(norm, F.lit(whole("|".join(r.pattern for r in rs)))) for k, rs in by_keyword(all_rules)]
+    near = F.filter(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(any_of)]), lambda i: i.isNotNull())
+    fits = F.flatten(F.transform(near, lambda i: F.filter(F.get(grouped(all_rules), i), lambda r: F.rlike(norm, r["pattern"]))))
 
     def places(r: Column) -> Column:
         found = F.arrays_zip(starts(norm, r["pattern"]).alias("at"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("hit"))
@@ -90,9 +103,10 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
     all_rules = rules() if all_rules is None else all_rules
     top = max((r.priority for r in all_rules), default=1)
     text, norm, hits, left, base = (F.col(text_col), *(F.col(pick(docs.columns, f"_{c}")) for c in ("norm", "hits", "left", "base")))
-    name = {c: pick(docs.columns, f"_{c}") for c in ("norm", "hits", "left", "base")}
-    near = docs.withColumn(name["norm"], F.when(F.rlike(text, F.lit(ANCHOR)), normalised(text)))
-    rows = near.withColumn(name["hits"], F.when(norm.isNotNull(), detections(norm, grouped(all_rules))))
+    name = {c: pick(docs.columns, f"_{c}") for c in ("low", "norm", "hits", "left", "base")}
+    near = docs.withColumn(name["low"], F.lower(text))
+    near = near.withColumn(name["norm"], F.when(anchored(text, F.col(name["low"])), normalised(text)))
+    rows = near.withColumn(name["hits"], F.when(norm.isNotNull(), detections(norm, all_rules)))
     each = F.array(*[F.struct(F.lit(label).alias("label"), starts(norm, F.lit(whole(phrase))).alias("at")) for label, phrase in BASE])
     rows = rows.withColumn(name["base"], F.when(norm.isNotNull(), each))
     rows = rows.withColumn(name["left"], F.when(F.size(hits) > 0, surviving(hits, top)))

@@ -100,7 +100,7 @@ def analysed(media: bytes) -> tuple[int, str, int, list[int]]:
 
 @pandas_udf(ANALYSIS)
 def analysis(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([analysed(m) for m in media], columns=ANALYSIS.names)
+    return pd.DataFrame([(None,) * len(ANALYSIS) if m is None else analysed(m) for m in media], columns=ANALYSIS.names, dtype=object)
 
 
 def media_column(text: Column) -> Column:
@@ -113,7 +113,8 @@ def media_features(media: Column) -> Column:
     samples) and ``points``, the sorted time-coded peak pairs, all from the samples
     that the wave module reads back.  A text's length bounds the work, frames are
     transformed a block at a time, and equal media have equal features.  A media
-    without two near peaks has no points.
+    without two near peaks has no points, and a null media has nulls.  Bytes that
+    are not a WAV file raise the wave module's error.
     """
     return analysis(media)
 

@@ -33,7 +33,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     media = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_columns.media_column(F.col("text")).alias("media"))
     found = media.withColumn("found", media_columns.media_features(F.col("media")))
-    return found.select("doc_id", "n_bytes", "found.payload_bytes", "found.payload_sha256", "found.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media_columns.digest(F.col("found.points")).alias("feature"))
+    return found.select("doc_id", "n_bytes", "found.payload_bytes", "found.payload_sha256", "found.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media_columns.digest(F.col("found.points")).alias("feature"), F.col("found.points").alias("points"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

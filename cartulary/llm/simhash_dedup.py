@@ -210,12 +210,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     stays.  The columns are those of ``docs``.
     """
     saved = Saved(spark)
-    row, fp = pick(docs.columns, "_row"), pick(docs.columns, "_fp")
+    row, fp, at = pick(docs.columns, "_row"), pick(docs.columns, "_fp"), pick(docs.columns, "_at")
     rows = docs.withColumn(fp, fingerprints(F.col(text_col))).withColumn(row, F.monotonically_increasing_id())
     rows = saved.write(rows)
     marked = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     found = marked.join(grouped(spark, marked, "n", radius, saved).select("fp", "root"), "fp")
     best = found.groupBy("root").agg(F.min_by("n", F.struct(F.col("id").isNull(), "id", "n")).alias("best"))
     best = saved.write(best)
-    gone = saved.write(found.join(small(best), "root").where("n <> best").select("n"))
-    return rows.join(small(gone), F.col(row) == F.col("n"), "left_anti").select(*docs.columns)
+    gone = saved.write(found.join(small(best), "root").where("n <> best").select(F.col("n").alias(at)))
+    return rows.join(small(gone), F.col(row) == F.col(at), "left_anti").select(*docs.columns)

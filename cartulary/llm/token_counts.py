@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Texts whose pre-tokens fill the broadcast table, and its most entries.
-SAMPLE_TEXTS = 2_000
-SAMPLE_CHARS = 10_000
+#: Most entries of the broadcast table; words that a task names for it, and that
+#: it counts at once.
 FREQUENT = 60_000
+NAMED, COUNTED = 4_000, 500_000
 #: Most pre-tokens that a worker remembers besides; beyond it starts anew.
 CACHED = 400_000
 #: Characters of one text that are split at once; longer texts go in blocks.
@@ -92,18 +92,33 @@ def counter(spark: SparkSession, path: str, pattern: str, frequent: dict[str, in
     return count
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, pattern: str, texts: int = SAMPLE_TEXTS, most: int = FREQUENT) -> dict[str, int]:
-    """First tier: token counts of the commonest pre-tokens in a sample of rows
-    of at most SAMPLE_CHARS characters.
+def words_named(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: a task's NAMED commonest words, of all its texts.
 
-    All bounds are parameters, so the broadcast table has at most ``most``
+    Of more than COUNTED words the commonest quarter goes on, so memory is bounded.
+    """
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            for at in range(0, len(text or ""), BLOCK):
+                seen.update(text[at : at + BLOCK].split())
+                if len(seen) > COUNTED:
+                    seen = Counter(dict(seen.most_common(COUNTED // 4)))
+    yield pd.DataFrame([(w, n) for w, n in seen.most_common(NAMED) if n > 1], columns=["word", "n"]).astype({"word": object, "n": "int64"})
+
+
+def frequent_lengths(docs: DataFrame, text_col: str, path: str, pattern: str, most: int = FREQUENT) -> dict[str, int]:
+    """First tier: token counts of the pre-tokens of the commonest words of all texts.
+
+    Words are counted where the texts lie, and only a task's commonest are
+    shuffled and added up; no pre-token is.  The table has at most about ``most``
     entries at any input size.  It only saves work: a pre-token that it lacks is
-    encoded where it occurs, so results don't depend on the sample.
+    encoded where it occurs, so results don't depend on it.
     """
-    pre, seen = PreTokens(path, pattern, {}), Counter()
-    for (text,) in docs.select(text_col).where(F.length(text_col) <= SAMPLE_CHARS).take(texts):
-        seen.update(pre.pattern.findall(text))
-    names = [t for t, n in seen.most_common(most) if n > 1 and not (pre.special and pre.special.search(t))]
+    named = docs.select(F.col(text_col).alias("text")).mapInPandas(words_named, "word string, n long")
+    total = named.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    pre = PreTokens(path, pattern, {})
+    names = sorted({t for (w,) in total.select("word").collect() for t in pre.pattern.findall(f" {w}") if not (pre.special and pre.special.search(t))})
     return dict(zip(names, pre.encode(names))) if names else {}
 
 
@@ -115,7 +130,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
     doesn't depend on its neighbours.  Tokens are those of the whole text without
     begin and end tokens; special strings in it count as the library has them.
     Null texts count as empty.  No row is dropped or moved: the plan has no
-    shuffle.  A column of ``docs`` with one of ``names`` is replaced.
+    shuffle of rows.  A column of ``docs`` with one of ``names`` is replaced.
     """
     count = counter(spark, path, pattern, frequent_lengths(docs, text_col, path, pattern))
     n_bytes, n_tokens, over = names

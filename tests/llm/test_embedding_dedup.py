@@ -79,3 +79,37 @@ def test_recall_with_a_large_common_mean(spark):
         true = int(np.triu(brute(x.astype(np.float64)), 1).sum())
         found = sum(r["n_links"] for r in run(spark, list(enumerate(x))).values()) // 2
         assert true >= 300 and true >= found >= 0.95 * true, (common, found, true)
+
+
+def test_just_linked_pairs_with_short_and_long_keys(spark, monkeypatch):
+    """Recall of pairs at cosines from 0.90 to 0.92 alone, as for few vectors and for a million."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rng = np.random.default_rng(6)
+    for d in (64,):
+        a = unit(rng.standard_normal((500, d)))
+        t = rng.standard_normal(a.shape)
+        t = unit(t - (t * a).sum(axis=1, keepdims=True) * a)
+        cos = rng.uniform(0.9005, 0.92, (500, 1))
+        x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * t]).astype(np.float32)
+        want = brute(x.astype(np.float64))
+        for keys in ((16, 32), (20, 32)):
+            monkeypatch.setattr(E, "KEYS", keys)
+            got = run(spark, list(enumerate(x)))
+            hit = [got[i]["component_id"] == got[i + 500]["component_id"] for i in range(500) if want[i, i + 500]]
+            assert len(hit) > 450 and sum(hit) >= 0.9 * len(hit), (d, keys, sum(hit), len(hit))
+
+
+def test_candidates_a_vector_do_not_grow_with_the_table():
+    """Rows that a vector meets in buckets, were all codes spread evenly."""
+    met = []
+    for n in (65_536, 1 << 20, 1 << 24, 1 << 30):
+        bits, codes = E.tables_for(n, 0.9)
+        met.append(codes * (E.BITS // bits) * (1 + bits / 2) * n / 2**bits)
+    assert all(m < 1100 for m in met) and met[-1] / met[0] < 20
+    assert E.tables_for(50_000, 0.9) == (16, 2)
+
+
+def test_vectors_of_another_length_and_ties(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 0.0]), (5, [0.9, (1 - 0.81) ** 0.5])]
+    got = {i: (r["n_links"], r["component_id"]) for i, r in run(spark, rows).items()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1 if brute(np.array([rows[3][1], rows[4][1]], np.float32).astype(np.float64))[0, 1] else 0, 4), 5: (got[4][0], 4 if got[4][0] else 5)}

@@ -75,6 +75,51 @@ def test_best_fit_holds_every_constraint(pieces, cost):
     assert n <= least * 1.25 + 1
 
 
+def plain_best_fit(lengths, full, weights):
+    """The definition: every open bin is tried for every piece."""
+    bins, where = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        piece = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, rest in enumerate(bins):
+            after = [r - p for r, p in zip(rest, piece)]
+            if min(after) >= 0:
+                norm = sum(w * (a / f) ** 2 for w, a, f in zip(weights, after, full))
+                if best is None or norm < best[0] - 1e-12:
+                    best = (norm, b)
+        if best is None:
+            bins.append(list(full))
+            best = (0, len(bins) - 1)
+        where[i] = best[1]
+        bins[best[1]] = [r - p for r, p in zip(bins[best[1]], piece)]
+    return where
+
+
+@pytest.mark.parametrize("full", [(1000, 1000, 10**6), (1000, 4, 10**6), (1000, 1000, 300_000)])
+def test_best_fit_equals_trying_every_bin(full):
+    rng = np.random.default_rng(9)
+    lengths = rng.choice(rng.integers(1, 700, 40), 150)
+    for weights in (best_fit.WEIGHTS, (1.0, 0.3, 0.7)):
+        got = best_fit.best_fit(lengths, *full, weights)[0].tolist()
+        assert got == plain_best_fit(lengths.tolist(), full, weights)
+
+
+def test_each_constraint_alone_changes_the_packing():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 500, 2000)
+    free = best_fit.best_fit(lengths, 1000, 1000, 10**6)[0]
+    by = {name: best_fit.best_fit(lengths, *full)[0] for name, full in {"tokens": (600, 1000, 10**6), "pieces": (1000, 3, 10**6), "cost": (1000, 1000, 200_000)}.items()}
+    assert all(b.max() > free.max() for b in by.values())
+    weighed = best_fit.best_fit(lengths, 1000, 1000, 10**6, (0.0, 1.0, 0.0))[0]
+    assert (weighed != free).any()
+    assert best_fit.best_fit(np.array([900, 900, 10]), 1000, 10, 100_000)[0].tolist() == [0, 1, 2]  # too dear to share
+
+
+def test_tiny_texts_fill_their_sequences():
+    for n in (20_000, 4096, 4097):
+        assert best_fit.best_fit(np.ones(n, np.int64))[0].max() + 1 == -(-n // 4096)
+
+
 def test_equal_lengths_pack_fast():
     lengths = np.full(20_000, 2100)
     assert best_fit.best_fit(lengths)[0].max() == 19_999
