@@ -17,12 +17,17 @@ def hint(value: Column) -> Column:
     return F.struct(F.lit(True).alias("model_hint"), value.alias("value"))
 
 
+def role_of(path: Column, text: Column) -> Column:
+    """A file's role without a model."""
+    return F.left(redact(F.trim(skeleton.role(path, text)))["text"], F.lit(fixed.ROLE_CHARS))
+
+
 def skeletons(files: DataFrame, churn: DataFrame | None = None) -> DataFrame:
     """Cards without model fields for (path, text, adapter, hash)."""
     path, text, kind = F.col("path"), F.col("text"), F.col("adapter")
     joined = files.join(churn, "path", "left") if churn is not None else files.withColumn("churn", F.lit(0))
     nothing = F.array().cast("array<string>")
-    role = F.left(redact(F.trim(skeleton.role(path, text)))["text"], F.lit(fixed.ROLE_CHARS))
+    role = role_of(path, text)
     return joined.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "path", "hash", "adapter",
         skeleton.symbols(text, kind).alias("symbols"), skeleton.imports(text).alias("imports"), skeleton.outline(text).alias("outline"),
@@ -83,6 +88,12 @@ def scored_text(path: Column, role: Column, symbols: Column, text: Column) -> Co
     return F.concat_ws(" ", path, role, F.array_join(F.transform(symbols, lambda s: s["name"]), " "), F.left(text, F.lit(fixed.SCORED_CHARS)))
 
 
+def own_term_sets(files: DataFrame) -> DataFrame:
+    """(path, terms) of files as they are, in one pass without cards."""
+    path, text = F.col("path"), F.col("text")
+    return files.select("path", terms(scored_text(path, role_of(path, text), skeleton.symbols(text, F.col("adapter")), text)).alias("terms"))
+
+
 def term_sets(cards: DataFrame, files: DataFrame) -> DataFrame:
     """(path, terms) of carded files: computed once at index time and stored."""
     joined = cards.select("path", F.col("role.value").alias("role"), "symbols").join(files.select("path", "text"), "path")

@@ -32,8 +32,9 @@ def verify(findings: DataFrame, files: DataFrame) -> DataFrame:
     """``findings`` (path, line, fact, quote, ...) with their ``verdict``: the tier
     ("exact" or "markdown_normalized") of one that holds, else why not.
 
-    Files join on the path by whatever way Spark finds best; only files with a
-    finding are read on.  The second tier is tried where the first has failed.
+    Files join on the path by whatever way Spark finds best.  A query's few findings
+    need the files alone that it looked into: hand in no more, lest all texts be
+    dealt out for them.  The second tier is tried where the first has failed.
     """
     joined = findings.join(files.select("path", F.col("text").alias("_text"), F.col("adapter").alias("_adapter")), "path", "left")
     text, quote, line, plain, bare = (F.col(c) for c in ("_text", "quote", "line", "_plain", "_bare"))

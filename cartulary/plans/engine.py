@@ -7,12 +7,14 @@ a query's bounded findings only.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cartulary.functions import fixed
 from cartulary.functions.text import token_estimate
@@ -48,13 +50,13 @@ def answer(spark: SparkSession, files: DataFrame, query: str, mode: str = "fixed
     findings, the firewall and the final order; (ord, file, line, fact, quote,
     match_tier, score)."""
     if term_sets is None:
-        term_sets = cards_.term_sets(cards_.skeletons(files.withColumn("hash", F.lit(""))), files)
+        term_sets = cards_.own_term_sets(files)
     picked = route.candidates(spark, term_sets, query)
     chosen = files.join(F.broadcast(picked), "path")  # at most CANDIDATES rows
     cut = chunk.chunks(chosen.withColumns({"router_rank": F.lit(None).cast("int"), "look_for": F.lit(None).cast("string")}), mode, window, overlap)
     ranked = chunk.rank_chunks(cut, query, cap)
     found = seam.lexical_findings(ranked, route.query_terms(spark, query))
-    held = firewall.passed(firewall.verify(found, files))
+    held = firewall.passed(firewall.verify(found, chosen.select(*files.columns)))
     held = firewall.distinct(held.where(firewall.holds_claim(F.lit(query), F.col("quote"))))
     return held.orderBy(*firewall.in_order(held)).select(F.col("path").alias("file"), "line", "fact", "quote", "match_tier", "score")
 
@@ -159,8 +161,8 @@ class Engine:
             router = seam.route(self.store.table(opened[0], "cards"), factory, text)
         known = (router if router is not None else none).join(files.select("path"), "path", "left_semi")
         merged = route.merge(known, picked)
-        cut = chunk.chunks(files.join(merged, "path"), mode, window)
-        order = ["router_rank", "score", "path", "first_line"]
+        chosen = files.join(merged, "path")
+        cut = chunk.chunks(chosen, mode, window)
         ranked = chunk.rank_chunks(cut, text, cap)
         cost = token_estimate(F.col("body")) / 1e6 * fixed.USD_IN + 0.006
         rows = ranked.withColumn("cost", cost).orderBy(F.asc_nulls_last("router_rank"), F.desc("score"), "path", "first_line").collect()
@@ -178,16 +180,17 @@ class Engine:
             spend["usd"] = (spend["in_tok"] or 0) / 1e6 * fixed.USD_IN + (spend["out_tok"] or 0) / 1e6 * fixed.USD_OUT
         else:
             found, failed, spend = seam.lexical_findings(go, route.query_terms(self.spark, text)), refused, {}
-        checked = firewall.verify(found, files).persist()
+        checked = firewall.verify(found, chosen.select(*files.columns)).persist()
         held, gone = firewall.passed(checked), firewall.dropped(checked).select("path", "line", "fact", "quote", "reason").unionByName(failed)
         claim = firewall.holds_claim(F.lit(text), F.col("quote"))
         gone = gone.unionByName(held.where(~claim).select("path", "line", "fact", "quote", F.lit("partial_claim_match").alias("reason")))
         held = firewall.distinct(held.where(claim))
         best = held.orderBy(*firewall.in_order(held))
         if budget_tokens is not None:
-            best = packed(best, budget_tokens)
+            best = packed(held, budget_tokens)
         findings = [r.asDict() for r in best.collect()]
         drops = [r.asDict() for r in gone.collect()]
+        checked.unpersist()
         top = max((r["score"] for r in rows), default=0.0)
         weak = bool(findings) and max(f["score"] for f in findings) < top * fixed.WEAK_RATIO
         state = self.spark.range(1).select(report.query_state(F.lit(False), F.lit(len(rows)), F.lit(len(findings)), F.array(*[F.lit(d["reason"]) for d in drops]) if drops else F.array().cast("array<string>"))).first()[0]
@@ -209,6 +212,9 @@ class Engine:
             "coverage": plain(report.coverage(skipped)),
             **self.staleness(),
         }
+        if budget_tokens is not None:
+            text = self.spark.range(1).select(report.truncated(F.lit(json.dumps(data)), budget_tokens)).first()[0]
+            data = json.loads(text)
         return Envelope("brief", data=data)
 
     def evaluate(self, suite: DataFrame, **options) -> Envelope:
@@ -231,11 +237,12 @@ class Engine:
 
 
 def packed(findings: DataFrame, budget_tokens: int) -> DataFrame:
-    """``findings`` of one query in order, quotes beyond the budget left out."""
+    """``findings`` of one query in their final order, quotes beyond the budget left out."""
+    place = F.row_number().over(Window.orderBy(*firewall.in_order(findings)))  # a query's findings
     full, short = F.to_json(F.struct("path", "line", "fact", "quote")), F.to_json(F.struct("path", "line", "fact"))
-    item = F.struct(token_estimate(full).alias("full"), token_estimate(short).alias("reduced"), F.struct(*findings.columns).alias("f"))
-    all_ = findings.select(item.alias("i")).agg(F.collect_list("i").alias("items"))
-    out = all_.select(F.explode(F.arrays_zip(F.col("items.f").alias("f"), report.pack(F.col("items"), "full", "reduced", budget_tokens).alias("omitted"))).alias("z"))
+    item = F.struct(place.alias("place"), token_estimate(full).alias("full"), token_estimate(short).alias("reduced"), F.struct(*findings.columns).alias("f"))
+    all_ = findings.select(item.alias("i")).agg(F.array_sort(F.collect_list("i"), lambda a, b: a["place"] - b["place"]).alias("items"))
+    out = all_.select(F.posexplode(F.arrays_zip(F.col("items.f").alias("f"), report.pack(F.col("items"), "full", "reduced", budget_tokens).alias("omitted"))).alias("at", "z")).orderBy("at")
     cols = [F.col(f"z.f.{c}").alias(c) for c in findings.columns if c != "quote"]
     return out.select(*cols, F.when(~F.col("z.omitted"), F.col("z.f.quote")).alias("quote"), F.col("z.omitted").alias("quote_omitted"))
 

@@ -26,6 +26,8 @@ from cartulary.functions.redact import redact_text
 from cartulary.functions.text import jsonish, strings, terms
 
 RAW = "array<struct<fact:string,line:int,quote:string>>"
+#: Partitions that call a provider at once; each has its part of the rate.
+PARALLEL = 50
 ATTEMPTS, BACKOFF_S = 6, 60.0
 EXTRACTOR = (
     "You read one numbered chunk of one file and a question. Answer with a JSON array only; each element has "
@@ -74,7 +76,7 @@ def backoff_s(attempt: int, draw: Callable[[float, float], float] = random.unifo
 class HttpProvider:
     """A chat endpoint named by CARTULARY_URL, CARTULARY_MODEL and CARTULARY_KEY."""
 
-    def __init__(self, per_minute: float = fixed.CALLS_PER_MINUTE):
+    def __init__(self, per_minute: float = fixed.CALLS_PER_MINUTE / PARALLEL):
         missing = [v for v in ("CARTULARY_URL", "CARTULARY_MODEL", "CARTULARY_KEY") if not os.environ.get(v)]
         if missing:
             raise ProviderError(f"set {', '.join(missing)}")
@@ -123,7 +125,7 @@ def asked(factory: Callable[[], Provider], query: str, max_tokens: int):
     return run
 
 
-def ask(chunks: DataFrame, factory: Callable[[], Provider], query: str, parallel: int = 50, max_tokens: int = 2000) -> DataFrame:
+def ask(chunks: DataFrame, factory: Callable[[], Provider], query: str, parallel: int = PARALLEL, max_tokens: int = 2000) -> DataFrame:
     """(path, first_line, raw, in_tok, out_tok, retries, error) for each chunk."""
     sent = chunks.select("path", "first_line", "body", "look_for").repartition(parallel, "path", "first_line")
     return sent.mapInPandas(asked(factory, query, max_tokens), "path string, first_line int, raw string, in_tok long, out_tok long, retries long, error string")
@@ -161,7 +163,7 @@ def written(factory: Callable[[], Provider], max_tokens: int):
     return run
 
 
-def write_cards(files: DataFrame, factory: Callable[[], Provider], parallel: int = 50, max_tokens: int = 900) -> DataFrame:
+def write_cards(files: DataFrame, factory: Callable[[], Provider], parallel: int = PARALLEL, max_tokens: int = 900) -> DataFrame:
     """(path, hash, role, invariants, gotchas, terms, in_tok, out_tok, retries, error).
 
     One call for each file, on its redacted beginning.  What can't be parsed has

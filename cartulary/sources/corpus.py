@@ -61,14 +61,14 @@ def walk(files: DataFrame, markdown_only: bool = False) -> DataFrame:
     """``files`` (path, text, ...) outside of pruned directories, with ``skip_reason``."""
     kept = files.where(~paths.pruned(F.col("path")))
     reason = verdict(F.col("path"), F.col("adapter"), F.octet_length("text"), F.col("text"), markdown_only)
-    return kept.withColumn("skip_reason", reason)
+    return kept.withColumn("skip_reason", reason).unionByName(tool_dirs(files), allowMissingColumns=True)
 
 
 def tool_dirs(files: DataFrame) -> DataFrame:
-    """A row for each tool directory at the top that holds a file."""
+    """(path, skip_reason): a row for each tool directory at the top that holds a file."""
     top = F.split("path", "/")
     found = files.where((F.size(top) > 1) & top[0].isin(*fixed.TOOL_DIRS))
-    return found.select(top[0].alias("path"), F.lit("harness_meta").alias("reason"), F.lit(None).cast("string").alias("adapter")).distinct()
+    return found.select(top[0].alias("path"), F.lit("harness_meta").alias("skip_reason")).distinct()
 
 
 def accepted(walked: DataFrame) -> DataFrame:
@@ -77,8 +77,7 @@ def accepted(walked: DataFrame) -> DataFrame:
 
 def rejected(walked: DataFrame) -> DataFrame:
     """(path, reason, adapter), each once."""
-    out = walked.where("skip_reason is not null").select("path", F.col("skip_reason").alias("reason"), "adapter")
-    return out.unionByName(tool_dirs(walked)).dropDuplicates(["path", "reason"])
+    return walked.where("skip_reason is not null").select("path", F.col("skip_reason").alias("reason"), "adapter").dropDuplicates(["path", "reason"])
 
 
 def files_meta(spark: SparkSession, root: str) -> DataFrame:
@@ -125,13 +124,14 @@ def converters(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(text=texts)[["path", "adapter", "size", "mtime_ms", "text", "skip_reason"]]
 
 
-def hidden(spark: SparkSession, root: str) -> DataFrame:
+def hidden(spark: SparkSession, root: str, ignore: Iterable[str] = ()) -> DataFrame:
     """(path, size, mtime_ms, content) of files that Spark's readers skip, their
     names beginning with a dot or an underscore, or a directory's above them.
 
-    The driver lists names without entering pruned directories, and reads the
-    few such files that are not too large; what a sensitive one holds goes no
-    further.
+    The driver lists names without entering pruned directories.  A sensitive
+    directory is one row and is not entered either; a tool directory at the top
+    is one row.  Only files that nothing in their path, size or the ignore rules
+    leaves out are opened; a denied one never is.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(root)
@@ -142,18 +142,27 @@ def hidden(spark: SparkSession, root: str) -> DataFrame:
         for status in fs.listStatus(at):
             name = status.getPath().getName()
             inside = dark or name[0] in "._"
-            if status.isDirectory():
+            if status.isDirectory() and (name in fixed.SECRET_DIRS or name in fixed.TOOL_DIRS and not prefix):
+                rows.append((prefix + name, None, status.getModificationTime()))
+            elif status.isDirectory():
                 if name not in never:
                     todo.append((status.getPath(), f"{prefix}{name}/", inside))
             elif inside:
-                content = None
-                if status.getLen() <= fixed.MAX_FILE_BYTES:
-                    stream = fs.open(status.getPath())
-                    content = bytes(stream.readAllBytes())
-                    stream.close()
-                rows.append((prefix + name, status.getLen(), status.getModificationTime(), content))
-    found = spark.createDataFrame(rows, "path string, size long, mtime_ms long, content binary")
-    return found.withColumn("content", F.when(~paths.sensitive(F.col("path")), F.col("content")))
+                rows.append((prefix + name, status.getLen(), status.getModificationTime()))
+    listed = spark.createDataFrame(rows, "path string, size long, mtime_ms long")
+    barred = verdict(F.col("path"), paths.adapter(F.col("path")), F.col("size"), F.lit(""))
+    open_ = listed.where(F.col("size").isNotNull() & barred.isNull() & (F.col("size") <= fixed.MAX_FILE_BYTES) & ~ignored(ignore))
+    held = []
+    for (path,) in open_.select("path").collect():
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(top, path))
+        held.append((path, bytes(stream.readAllBytes())))
+        stream.close()
+    return listed.join(spark.createDataFrame(held, "path string, content binary"), "path", "left")
+
+
+def in_secret_dir(path: Column) -> Column:
+    """Below a sensitive directory, which is a row of its own."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in fixed.SECRET_DIRS]))
 
 
 def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdown_only: bool = False) -> DataFrame:
@@ -163,7 +172,8 @@ def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdo
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = found.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    rows = rows.unionByName(hidden(spark, root))
+    rows = rows.where(~in_secret_dir(F.col("path"))).unionByName(hidden(spark, root, ignore))
+    tools = rows.where(F.col("path").isin(*fixed.TOOL_DIRS) & F.col("size").isNull())
     rows = rows.where(~paths.pruned(F.col("path"))).where(paths.sensitive(F.col("path")) | ~ignored(ignore))
     rows = rows.withColumn("adapter", paths.adapter(F.col("path")))
     as_text = F.col("content").cast("string")
@@ -172,7 +182,9 @@ def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdo
     plain = rows.where(~other).withColumn("text", F.when(F.col("skip_reason").isNull(), as_text)).drop("content")
     schema = "path string, adapter string, size long, mtime_ms long, text string, skip_reason string"
     converted = rows.where(other).mapInPandas(converters, schema)
-    return plain.unionByName(converted.withColumn("skip_reason", F.when(F.trim("text") == "", "unsupported_or_tool_missing")))
+    tools = tools.select("path", "size", "mtime_ms", F.lit("harness_meta").alias("skip_reason"))
+    out = plain.unionByName(converted.withColumn("skip_reason", F.when(F.trim("text") == "", "unsupported_or_tool_missing")))
+    return out.unionByName(tools, allowMissingColumns=True)
 
 
 def churn(changes: DataFrame, key: str, at: str, days: int = fixed.CHURN_DAYS) -> DataFrame:

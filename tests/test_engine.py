@@ -6,7 +6,7 @@ import pytest
 
 from cartulary.__main__ import budget, hint, main
 from cartulary.plans import provider
-from cartulary.plans.engine import Engine, compact
+from cartulary.plans.engine import Engine, compact, packed
 from cartulary.plans.store import Busy, Generations
 from cartulary.sources import corpus
 from cartulary.streaming.incremental import follow
@@ -180,3 +180,30 @@ def test_ignore_rules_and_command_line(spark, tree, capsys):
     assert budget("8k") == 8000 and budget("12") == 12
     assert main(["indx"]) == 2 and "index" in capsys.readouterr().out
     assert main(["capabilities"]) == 0
+
+
+def test_tool_and_secret_directories_are_one_row_each_and_denied_files_are_not_opened(spark, tmp_path):
+    for name, text in {"a.md": "# A", ".claude/x.md": "x", ".aws/c1": "secret", ".aws/c2": "secret", "sub/.ssh/id": "k", ".hidden.md": "kept", ".env": "SECRET=1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for denied in (".env", ".aws/c1", ".aws/c2", "sub/.ssh/id"):
+        (tmp_path / denied).chmod(0)
+    rows = {r["path"]: (r["skip_reason"], r["text"]) for r in corpus.directory(spark, str(tmp_path)).collect()}
+    assert rows == {"a.md": (None, "# A"), ".hidden.md": (None, "kept"), ".claude": ("harness_meta", None), ".aws": ("sensitive", None), "sub/.ssh": ("sensitive", None), ".env": ("sensitive", None)}
+    table = spark.createDataFrame([("a.md", "t", "markdown"), (".claude/x", "t", "code"), (".claude/y", "t", "code"), ("b.md", "\0", "markdown")], "path string, text string, adapter string")
+    left = {(r["path"], r["reason"]) for r in corpus.rejected(corpus.walk(table)).collect()}
+    assert left == {(".claude", "harness_meta"), ("b.md", "binary_nul")}
+
+
+def test_packed_findings_keep_their_order(spark):
+    rows = [(f"p{i}.md", 1, "fact", "quote " * 20, i, float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows[::-1], "path string, line int, fact string, quote string, router_rank int, score double").repartition(5)
+    got = packed(df, 400).collect()
+    assert [r["path"] for r in got] == [r[0] for r in rows] and not got[0]["quote_omitted"] and got[-1]["quote_omitted"]
+
+
+def test_a_small_brief_is_truncated_and_rates_are_shared():
+    from cartulary.functions import fixed
+
+    assert provider.PARALLEL * (fixed.CALLS_PER_MINUTE / provider.PARALLEL) == fixed.CALLS_PER_MINUTE
+    assert provider.HttpProvider.__init__.__defaults__ == (fixed.CALLS_PER_MINUTE / provider.PARALLEL,)
