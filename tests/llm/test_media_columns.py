@@ -72,3 +72,8 @@ def test_whole_table(spark, sf):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(media).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["feature"].split(":")[0] == str(len(M.points(np.frombuffer(payload, np.uint8))))
+
+
+def test_null_media_has_null_features(spark):
+    found = spark.createDataFrame([(1, None)], "doc_id long, media binary").select(M.media_features("media").alias("f")).select("f.*").first()
+    assert list(found) == [None] * 4

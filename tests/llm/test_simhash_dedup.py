@@ -121,3 +121,10 @@ def test_saved_tables_are_swept(spark):
     assert any(n.startswith("cartulary-") for n in store.names())
     sweep(spark)
     assert not any(n.startswith("cartulary-") for n in store.names())
+
+
+def test_one_of_each_with_columns_named_like_inner_ones(spark):
+    names = ["n", "id", "fp", "root", "best", "_row", "_fp", "_at"]
+    df = spark.createDataFrame([(i, t, *[7] * len(names)) for i, t in ((1, "a b c d"), (2, "a b c d"), (3, "other words"))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    out = S.one_of_each(spark, df)
+    assert out.columns == df.columns and {(r["doc_id"], r["n"], r["_at"]) for r in out.collect()} == {(1, 7, 7), (3, 7, 7)}
