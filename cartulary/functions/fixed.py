@@ -12,6 +12,8 @@ SUFFIXES = ("ing", "ed", "es", "s")
 TOOL_DIRS = (".delegate", ".claude", ".codex", ".cursor", ".vscode", ".idea", ".desloppify", ".tldr")
 BUILD_DIRS = (".git", "target", "node_modules", "dist", "build", "__pycache__", ".venv", "venv")
 INDEX_DIR = ".cartulary"
+# Names of files with ignore rules, those that win first.
+IGNORE_FILES = (".cartularyignore", ".ignore", ".gitignore")
 
 # Fixed values. Extensions of files that hold no text.
 BINARY_EXTENSIONS = (

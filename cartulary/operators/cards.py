@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from cartulary.functions.redact import redact
 from cartulary.functions.text import lines, terms, token_estimate
 
 SCHEMA_VERSION = 1
+ADAPTER_VERSION, CARD_PROMPT = "1", "card-1"
+#: Fields that a model may have written.
+MODEL_FIELDS = ("role", "invariants", "gotchas", "terms")
 
 
 def hint(value: Column) -> Column:
@@ -36,6 +41,28 @@ def skeletons(files: DataFrame, churn: DataFrame | None = None) -> DataFrame:
     )
 
 
+def model_fields(old: DataFrame) -> DataFrame:
+    """(path, hash, m_role, ...): the values of a generation's model fields."""
+    return old.select("path", "hash", *[F.col(f"{c}.value").alias(f"m_{c}") for c in MODEL_FIELDS])
+
+
+def carded(fresh: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Cards as a generation keeps them: ``fresh`` ones with the model fields that are
+    ``known`` of the same path and hash; ``defined`` are the terms without a model."""
+    fresh = fresh.withColumn("defined", F.col("terms.value"))
+    if known is None:
+        return fresh
+    value = lambda c: hint(F.coalesce(F.col(f"m_{c}"), F.col(f"{c}.value")))
+    joined = fresh.join(known, ["path", "hash"], "left")
+    return joined.withColumns({c: value(c) for c in MODEL_FIELDS}).drop(*[f"m_{c}" for c in MODEL_FIELDS])
+
+
+def manifest(model: str = "none", ignore: tuple[str, ...] = (), markdown_only: bool = False) -> dict:
+    """What a generation was made with; another one's cards aren't reused."""
+    rules = hashlib.sha256("\n".join(ignore).encode()).hexdigest()
+    return {"schema_version": SCHEMA_VERSION, "card_prompt": CARD_PROMPT, "adapter_version": ADAPTER_VERSION, "model": model, "ignore_hash": rules, "markdown_only": markdown_only}
+
+
 def reuse(files: DataFrame, old: DataFrame, field: str = "role") -> DataFrame:
     """``files`` with ``reused`` and the old card's ``field`` where path and hash are as before."""
     known = old.select("path", "hash", F.col(field).alias("_old"), F.lit(True).alias("_known"))

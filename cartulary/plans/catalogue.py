@@ -299,10 +299,11 @@ def spend_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus.documents(spark, sf_dir).withColumns({"hash": F.lit(""), "text": F.lit("")})
+    found = corpus.documents(spark, sf_dir).withColumn("hash", F.sha2("text", 256))
     mapped = cards.module_map(cards.skeletons(found.select("path", "text", "adapter", "hash")))
     listed = F.array_join(F.transform("files", lambda f: f["path"]), ",")
-    return mapped.select("dir", F.size("files").cast("long").alias("n_files"), listed.alias("paths"))
+    total = lambda of: F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + of(f))
+    return mapped.select("dir", F.size("files").cast("long").alias("n_files"), listed.alias("paths"), total(lambda f: f["loc"]).alias("loc"), total(lambda f: F.size(f["symbols"])).alias("n_symbols"))
 
 
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ a query's bounded findings only.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import json
 import time
 from collections.abc import Callable
@@ -24,9 +24,6 @@ from cartulary.plans import provider as seam
 from cartulary.plans.store import Generations
 from cartulary.sources import corpus
 
-ADAPTER_VERSION, CARD_PROMPT = "1", "card-1"
-MODEL_FIELDS = ("role", "invariants", "gotchas", "terms")
-
 
 @dataclass
 class Envelope:
@@ -70,11 +67,11 @@ class Engine:
 
     def __init__(self, spark: SparkSession, files: Callable[[], DataFrame], store: str, churn: DataFrame | None = None, markdown_only: bool = False, model: str = "none", ignore: tuple[str, ...] = ()):
         self.spark, self.files, self.churn, self.markdown_only = spark, files, churn, markdown_only
-        self.model, self.ignore = model, hashlib.sha256("\n".join(ignore).encode()).hexdigest()
+        self.model, self.ignore = model, ignore
         self.store = Generations(spark, store)
 
     def manifest(self) -> dict:
-        return {"schema_version": cards_.SCHEMA_VERSION, "card_prompt": CARD_PROMPT, "adapter_version": ADAPTER_VERSION, "model": self.model, "ignore_hash": self.ignore, "markdown_only": self.markdown_only}
+        return cards_.manifest(self.model, self.ignore, self.markdown_only)
 
     def old_cards(self) -> DataFrame | None:
         opened = self.store.open()
@@ -82,9 +79,15 @@ class Engine:
             return None
         return self.store.table(opened[0], "cards")
 
-    def index(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None) -> Envelope:
+    def estimate(self) -> dict:
+        """(n, usd) of the files whose cards have to be made."""
+        files, old = corpus.accepted(self.files()), self.old_cards()
+        return cards_.index_cost(cards_.to_card(files, old) if old is not None else files).first().asDict()
+
+    def index(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None, confirm: Callable[[dict], bool] | None = None) -> Envelope:
         """A new generation; cards of unchanged files keep their model fields.
 
+        ``confirm`` sees the estimate before anything is spent and may decline.
         With a provider's ``factory`` the others' model fields are written by it;
         a file that it fails on is skipped with the reason and made next time.
         """
@@ -96,8 +99,11 @@ class Engine:
         if max_usd is not None and cost["usd"] > max_usd:
             out.state = "budget_hit"
             return out
+        if confirm and cost["usd"] > 0 and not confirm(cost):
+            out.state, out.data["cancelled"] = "budget_hit", True
+            return out
         fresh, skipped = cards_.skeletons(files, self.churn), corpus.rejected(walked)
-        model = [old.select("path", "hash", *[F.col(f"{c}.value").alias(f"m_{c}") for c in MODEL_FIELDS])] if old is not None else []
+        model = [cards_.model_fields(old)] if old is not None else []
         if factory:
             made = seam.write_cards(work, factory).persist()
             spend = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_tok", "out_tok", "retries")], F.count(F.lit(1)).alias("calls")).first().asDict()
@@ -105,14 +111,9 @@ class Engine:
             failed = made.where("error is not null").select("path", F.col("error").alias("reason"), F.lit(None).cast("string").alias("adapter"))
             skipped = skipped.unionByName(failed)
             fresh = fresh.join(failed.select("path"), "path", "left_anti")
-            model.append(made.where("error is null").select("path", "hash", *[F.col(c).alias(f"m_{c}") for c in MODEL_FIELDS]))
-        if model:
-            known = model[0] if len(model) == 1 else model[0].unionByName(model[1])
-            value = lambda c: cards_.hint(F.coalesce(F.col(f"m_{c}"), F.col(f"{c}.value")))
-            joined = fresh.join(known, ["path", "hash"], "left")
-            fresh = joined.withColumn("defined", F.col("terms.value")).withColumns({c: value(c) for c in MODEL_FIELDS}).drop(*[f"m_{c}" for c in MODEL_FIELDS])
-        else:
-            fresh = fresh.withColumn("defined", F.col("terms.value"))
+            model.append(made.where("error is null").select("path", "hash", *[F.col(c).alias(f"m_{c}") for c in cards_.MODEL_FIELDS]))
+        known = functools.reduce(DataFrame.unionByName, model) if model else None
+        fresh = cards_.carded(fresh, known)
         meta = files.select("path", "hash", *[c for c in ("size", "mtime_ms") if c in files.columns])
         tables = {"cards": fresh, "terms": cards_.term_sets(fresh, files), "meta": meta, "skipped": skipped}
         out.data["generation"] = self.store.publish(tables, self.manifest() | {"generated_at_ms": int(time.time() * 1000)})
@@ -138,9 +139,16 @@ class Engine:
         n = self.changes().count()
         return {"stale": n > 0, "reason": "content_hash_mismatch" if n else "current", "changed_files": n}
 
-    def refresh(self, max_usd: float = fixed.REFRESH_USD) -> Envelope:
-        """Builds anew what is stale, unless that costs more than ``max_usd``."""
-        return self.index(min(max_usd, fixed.REFRESH_USD)) if self.staleness()["stale"] else Envelope("index", data={"refreshed": False})
+    def refresh(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None) -> Envelope:
+        """Builds anew what is stale, unless the estimate is over ``max_usd`` or over
+        what may be spent without a word."""
+        if not self.staleness()["stale"]:
+            return Envelope("index", data={"refreshed": False})
+        cost = self.estimate()
+        for most, hint in ((max_usd, "index with a higher cap"), (fixed.REFRESH_USD, "the estimate is over what a refresh spends without asking; index first")):
+            if most is not None and cost["usd"] > most:
+                return Envelope("index", "budget_hit", {"hint": hint, "estimated_usd": cost["usd"], "max_usd": most, "changed_files": cost["n"]})
+        return self.index(max_usd, factory)
 
     def query(self, text: str, factory: Callable[[], seam.Provider] | None = None, router: DataFrame | None = None, routing: bool = False, mode: str = "boundary_overlap", window: int = fixed.CHUNK_LINES, cap: int = fixed.CHUNK_CAP, max_usd: float | None = None, budget_tokens: int | None = None) -> Envelope:
         """Findings that hold, of the current generation; refuses a stale index.
@@ -217,11 +225,20 @@ class Engine:
             data = json.loads(text)
         return Envelope("brief", data=data)
 
-    def evaluate(self, suite: DataFrame, **options) -> Envelope:
-        """Runs a golden suite and scores it."""
-        runs = []
-        for q in suite.collect():
-            got = self.query(q["query"], **options)
+    def evaluate(self, suite: DataFrame, max_usd: float | None = None, **options) -> Envelope:
+        """Runs a golden suite, scores it and keeps each query's envelope and a summary.
+
+        Once ``max_usd`` is spent no further query is asked, and the suite counts
+        as incomplete.
+        """
+        runs, kept, spent, folder = [], [], 0.0, f"eval-runs/{int(time.time() * 1000)}"
+        rows = suite.collect()
+        for q in rows:
+            if max_usd is not None and spent >= max_usd:
+                break
+            got = self.query(q["query"], max_usd=None if max_usd is None else max_usd - spent, **options)
+            name = f"{folder}/{q['id']}.json"
+            self.store.write(name, json.dumps(asdict(got)))
             found = [{"query_id": q["id"], "file": f["path"], "line": f["line"], "fact": f["fact"]} for f in got.data.get("findings", [])]
             facts = [{"query_id": q["id"], "file": m["file"], "line": m["line"], "fact": m["fact"]} for m in q["must_find"] or []]
             bad = [{"query_id": q["id"], "id": p["id"], "query": q["query"], "poison": p["fact"]} for p in q["poison"] or []]
@@ -231,9 +248,22 @@ class Engine:
             hit = evalkit.covered(m, f).where("covered").count() if facts else 0
             files = {x["file"] for x in found}
             alive = evalkit.survivors(frame(bad, "query_id string, id string, query string, poison string"), f).where("survives").count() if bad else 0
-            runs.append((len({x["file"] for x in facts} & files), len({x["file"] for x in facts}), hit, len(facts), alive, bool(q["negative"]), len(found), float(got.spend.get("usd", 0.0)), got.state in ("ok", "partial", "unanswered")))
-        schema = "recall_found int, recall_total int, covered int, facts int, poison int, negative boolean, findings int, usd double, complete boolean"
-        return Envelope("eval", data=evalkit.gates(self.spark.createDataFrame(runs, schema)).first().asDict())
+            usd = float(got.spend.get("usd", 0.0))
+            run = (len({x["file"] for x in facts} & files), len({x["file"] for x in facts}), hit, len(facts), alive, bool(q["negative"]), len(found), usd, got.state in ("ok", "partial", "unanswered"))
+            spent += usd
+            runs.append(run)
+            kept.append({"id": q["id"], "state": got.state, "artifact": name, "recall": run[:2], "covered": run[2:4], "poison_survivors": alive, "negative_clean": not (q["negative"] and found)})
+        out = Envelope("eval", spend={"usd": spent})
+        if runs:
+            schema = "recall_found int, recall_total int, covered int, facts int, poison int, negative boolean, findings int, usd double, complete boolean"
+            out.data = evalkit.gates(self.spark.createDataFrame(runs, schema)).first().asDict()
+        if len(runs) < len(rows) or not runs:
+            out.data |= {"complete": False, "green": False}
+        out.data |= {"asked": len(runs), "queries": len(rows), "summary": f"{folder}/summary.json"}
+        self.store.write(out.data["summary"], json.dumps({"metrics": out.data, "spend": out.spend, "queries": kept}))
+        if not out.data["green"]:
+            out.state = "partial"
+        return out
 
 
 def packed(findings: DataFrame, budget_tokens: int) -> DataFrame:
@@ -259,3 +289,16 @@ def compact(envelope: Envelope) -> dict:
 
 def capabilities() -> dict:
     return {"commands": list(fixed.COMMANDS), "states": dict(fixed.STATES), "chunk_modes": list(chunk.MODES), "limits": {"file_bytes": fixed.MAX_FILE_BYTES, "candidates": fixed.CANDIDATES, "chunk_cap": fixed.CHUNK_CAP}}
+
+
+def schema() -> dict:
+    """What the answers' fields mean."""
+    return {
+        "envelope": {"schema": Envelope("").schema, "state": "|".join(fixed.STATES), "data": "by command", "spend": "calls, tokens, retries, usd", "skipped": "files left out", "errors": "messages"},
+        "exit_codes": dict(fixed.STATES),
+        "card_schema_version": cards_.SCHEMA_VERSION,
+        "finding": {"path": "relative path", "line": "line of the source, from 1", "fact": "the extractor's sentence", "quote": "verbatim, unless left out", "quote_omitted": "true when it was left out for the budget", "match_tier": "how the quote was found", "score": "with --full only", "router_rank": "with --full only"},
+        "query_data": {"weak_signal": f"the best finding scores under {fixed.WEAK_RATIO} of the best candidate", "dropped": "with reasons; counts by reason unless --full", "changed_files": "of a stale index"},
+        "brief_data": {"stale": "boolean", "reason": "current|manifest_mismatch|content_hash_mismatch", "changed_files": "against the manifest"},
+        "runs": "last_run.json and runs/*.json hold whole envelopes of queries, eval-runs/*/summary.json those of suites",
+    }

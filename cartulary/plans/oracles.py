@@ -172,7 +172,11 @@ select conv_id, turn, omitted from w where i > 0""",
     "index_cost": "select count(*) as n, round(sum(greatest(1, length(left(text, 16000)) // 4) + 700) / 1e6 * 2.15 + count(*) * 0.001, 6) as usd from documents",
     "chunk_cost": f"select count(*) as n, round(sum({TOKENS.format('body')} + 700) / 1e6 * 2.15 + count(*) * 0.006, 6) as usd from {TENTHS}",
     "spend_rollup": "select role, cast(sum(greatest(1, length(text) // 4)) as bigint) as in_tok, cast(sum(turn) as bigint) as out_tok, count(*) as calls, round(sum(greatest(1, length(text) // 4)) / 1e6 * 2.15 + sum(turn) / 1e6 * 2.70, 6) as usd from conversations group by role",
-    "module_map": f"select source || '/' || lang as dir, count(*) as n_files, string_agg({VPATH}, ',' order by {VPATH}) as paths from documents group by 1",
+    "module_map": rf"""
+with l as (select doc_id, line, {VADAPTER} as adapter from {each_line('documents')} join documents using (doc_id)),
+n as (select doc_id, count(*) as loc, least(8, count(*) filter (where case when adapter = 'code' then regexp_matches(line, '{SYMBOL}') else regexp_matches(line, '^\s*#{{1,6}} ') end)) as symbols from l group by doc_id)
+select source || '/' || lang as dir, count(*) as n_files, string_agg({VPATH}, ',' order by {VPATH}) as paths, cast(sum(coalesce(loc, 0)) as bigint) as loc, cast(sum(coalesce(symbols, 0)) as bigint) as n_symbols
+from documents left join n using (doc_id) group by 1""",
     "entry_points": f"""
 with i as (select doc_id, least(200, count(*)) as n from {each_line('documents')} where regexp_matches(line, '{IMPORT}') group by doc_id),
 s as (select {VPATH} as path, coalesce(n, 0) + doc_id % 17 as score from documents left join i using (doc_id))

@@ -74,25 +74,35 @@ def backoff_s(attempt: int, draw: Callable[[float, float], float] = random.unifo
 
 
 class HttpProvider:
-    """A chat endpoint named by CARTULARY_URL, CARTULARY_MODEL and CARTULARY_KEY."""
+    """A chat endpoint named by CARTULARY_URL, CARTULARY_MODEL and CARTULARY_KEY.
 
-    def __init__(self, per_minute: float = fixed.CALLS_PER_MINUTE / PARALLEL):
+    Once this provider has spent ``most_usd`` it asks nothing a second time.
+    """
+
+    def __init__(self, per_minute: float = fixed.CALLS_PER_MINUTE / PARALLEL, *, most_usd: float | None = None):
         missing = [v for v in ("CARTULARY_URL", "CARTULARY_MODEL", "CARTULARY_KEY") if not os.environ.get(v)]
         if missing:
             raise ProviderError(f"set {', '.join(missing)}")
-        self.bucket = Bucket(per_minute)
+        self.bucket, self.most_usd, self.usd = Bucket(per_minute), most_usd, 0.0
+
+    def check_retry(self) -> None:
+        if self.most_usd is not None and self.usd >= self.most_usd:
+            raise ProviderError("budget cap hit before provider retry")
 
     def answer(self, system: str, user: str, max_tokens: int) -> Answer:
         body = {"model": os.environ["CARTULARY_MODEL"], "temperature": 0, "stream": False, "max_tokens": max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ['CARTULARY_KEY']}"}
         request = urllib.request.Request(os.environ["CARTULARY_URL"], json.dumps(body).encode(), headers)
         for attempt in range(ATTEMPTS):
+            if attempt:
+                self.check_retry()
             while wait := self.bucket.wait_s():
                 time.sleep(wait)
             try:
                 with urllib.request.urlopen(request, timeout=120) as got:
                     found = json.load(got)
                 used = found.get("usage", {})
+                self.usd += used.get("prompt_tokens", 0) / 1e6 * fixed.USD_IN + used.get("completion_tokens", 0) / 1e6 * fixed.USD_OUT
                 return Answer(found["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0), attempt)
             except urllib.error.HTTPError as e:
                 if e.code != 429 and e.code < 500 or attempt == ATTEMPTS - 1:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import socket
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,17 +68,24 @@ class Generations(Store):
     """The index's snapshots: ``gen-<ms>`` folders, ``current``, ``build.lock``."""
 
     def lock(self, now_ms: int | None = None) -> None:
+        """Takes the lock, or a stale one: its process is this one or a dead one of this
+        machine, it is old, or it is torn and some seconds old.
+
+        A stale lock is renamed away before a new one is made, which only one of
+        several builds can do.
+        """
         now = now_ms or int(time.time() * 1000)
         if self.exists("build.lock"):
             try:
                 held = json.loads(self.read("build.lock"))
-                stale = now - held["started_at_ms"] > LOCK_MS or held["pid"] == os.getpid()
+                stale = now - held["started_at_ms"] > LOCK_MS or held["pid"] == os.getpid() or held.get("host") == socket.gethostname() and not alive(held["pid"])
             except (ValueError, KeyError):
                 stale = now - self.fs.getFileStatus(self.path("build.lock")).getModificationTime() > 10_000
-            if not stale:
+            away = f"build.lock.stale-{time.time_ns()}"
+            if not stale or not self.fs.rename(self.path("build.lock"), self.path(away)):
                 raise Busy("another build holds the lock")
-            self.delete("build.lock")
-        self.write("build.lock", json.dumps({"pid": os.getpid(), "started_at_ms": now}), new=True)
+            self.delete(away)
+        self.write("build.lock", json.dumps({"pid": os.getpid(), "host": socket.gethostname(), "started_at_ms": now}), new=True)
 
     def publish(self, tables: dict[str, DataFrame], manifest: dict) -> str:
         """Writes a generation and lets the pointer name it."""
@@ -123,6 +131,17 @@ class Generations(Store):
         return name
 
 
+def alive(pid: int) -> bool:
+    """Whether this machine has a process of that number."""
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except OSError:
+        return True
+    return True
+
+
 def stamp(name: str) -> int:
     found = re.fullmatch(r"gen-(\d+)", name)
     return int(found[1]) if found else 0

@@ -31,27 +31,30 @@ def merged(store: Generations, batch: DataFrame) -> dict[str, DataFrame]:
     files = latest(batch).withColumn("adapter", paths.adapter(F.col("path")))
     walked = corpus.walk(files)
     good = corpus.accepted(walked)
-    fresh = cards.skeletons(good)
-    new = {"cards": fresh, "terms": cards.term_sets(fresh, good), "meta": good.select("path", "hash"), "skipped": corpus.rejected(walked)}
     opened = store.open()
+    known = cards.model_fields(store.table(opened[0], "cards")) if opened else None
+    fresh = cards.carded(cards.skeletons(good), known)
+    new = {"cards": fresh, "terms": cards.term_sets(fresh, good), "meta": good.select("path", "hash"), "skipped": corpus.rejected(walked)}
     if not opened:
         return new
     seen = files.select("path")
-    return {name: store.table(opened[0], name).join(seen, "path", "left_anti").unionByName(new[name]) for name in TABLES}
+    kept = lambda name: store.table(opened[0], name).join(seen, "path", "left_anti")
+    return {name: kept(name).unionByName(new[name], allowMissingColumns=True) for name in TABLES}
 
 
-def follow(spark: SparkSession, source: str, top: str, checkpoint: str, after: Callable[[str], None] | None = None) -> StreamingQuery:
+def follow(spark: SparkSession, source: str, top: str, checkpoint: str, after: Callable[[str], None] | None = None, model: str = "none") -> StreamingQuery:
     """Indexes what is there and not yet indexed, in batches, and ends (availableNow).
 
     The checkpoint remembers which files have been read; started again it goes on
-    with new ones.
+    with new ones.  Generations are those of ``Engine.index`` with this ``model``:
+    either may go on from the other's, and model fields of unchanged texts stay.
     """
     store = Generations(spark, top)
 
     def each(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        name = store.publish(merged(store, batch), {"schema_version": cards.SCHEMA_VERSION, "batch": number})
+        name = store.publish(merged(store, batch), cards.manifest(model) | {"batch": number})
         if after:
             after(name)
 

@@ -207,3 +207,128 @@ def test_a_small_brief_is_truncated_and_rates_are_shared():
 
     assert provider.PARALLEL * (fixed.CALLS_PER_MINUTE / provider.PARALLEL) == fixed.CALLS_PER_MINUTE
     assert provider.HttpProvider.__init__.__defaults__ == (fixed.CALLS_PER_MINUTE / provider.PARALLEL,)
+
+
+def put(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    root = tmp_path / "repo" / "corpus"
+    put(tmp_path / "repo", {".git/config": "", ".git/info/exclude": "excluded.md\n", ".gitignore": "above.md\n/corpus/anchored.md\n"})
+    put(root, {
+        ".gitignore": "# a comment\n*.log\n/only_top.md\nbuild_out/\n!keep.log\ndeep/**/x.md\nq?.md\n[ab]1.md\n\\#odd.md\n",
+        "docs/.gitignore": "b.md\n!loud.log\n", ".ignore": "!excluded.md\n", "sub/.cartularyignore": "c.md\n", ".hidden/.ignore": "no.md\n",
+        "a.log": "", "keep.log": "k", "docs/loud.log": "l", "only_top.md": "", "docs/only_top.md": "o", "build_out/keep.log": "", "docs/build_out": "file",
+        "deep/x.md": "", "deep/1/2/x.md": "", "deep/1/y.md": "y", "q1.md": "", "a1.md": "", "c1.md": "c", "#odd.md": "", "docs/b.md": "", "b.md": "b",
+        "sub/c.md": "", "c.md": "c", "above.md": "", "anchored.md": "", "docs/anchored.md": "d", "excluded.md": "e", ".hidden/no.md": "", ".hidden/yes.md": "y", "docs/.env": "S=1",
+    })
+    rows = {r["path"]: r for r in corpus.directory(spark, str(root)).collect()}
+    config = {".gitignore", "docs/.gitignore", ".ignore", "sub/.cartularyignore", ".hidden/.ignore"}
+    assert set(rows) - config == {
+        "keep.log", "docs/loud.log", "docs/only_top.md", "docs/build_out", "deep/1/y.md", "c1.md", "b.md", "c.md", "docs/anchored.md", "excluded.md", ".hidden/yes.md", "docs/.env",
+    }
+    assert rows[".hidden/yes.md"]["text"] == "y" and rows["docs/.env"]["skip_reason"] == "sensitive" and rows["docs/.env"]["text"] is None
+
+
+def test_gitignore_needs_a_version_controlled_tree(spark, tmp_path):
+    put(tmp_path, {".gitignore": "a.md\n", ".ignore": "b.md\n", "a.md": "a", "b.md": "b"})
+    assert {r["path"] for r in corpus.directory(spark, str(tmp_path)).collect()} == {".gitignore", ".ignore", "a.md"}
+    assert [r.keep for r in corpus.rules_of("!a\n\n# no\n   \nb/ \n")] == [True, False]
+
+
+def test_streamed_and_built_indexes_go_on_from_each_other(spark, tmp_path):
+    source, top = tmp_path / "in", str(tmp_path / "store")
+    texts = {"a.md": "# A\nalpha words", "b.md": "# B\nbeta words"}
+    table = lambda: spark.createDataFrame(list(texts.items()), "path string, text string")
+    files = lambda: corpus.walk(table().withColumn("adapter", corpus.paths.adapter(corpus.F.col("path"))))
+    engine = Engine(spark, files, top)
+
+    def made():
+        class Writer:
+            def answer(self, system, user, max_tokens):
+                return provider.Answer(json.dumps({"role": "written by a model"}), 1, 1)
+
+        return Writer
+
+    engine.index(factory=made())
+    spark.createDataFrame([("b.md", texts["b.md"]), ("c.md", "# C\ngamma")], "path string, text string").write.mode("append").parquet(str(source))
+    follow(spark, str(source), top, str(tmp_path / "cp")).awaitTermination(60)
+    texts["c.md"] = "# C\ngamma"
+    assert not engine.staleness()["stale"] and engine.query("gamma").state == "ok"
+    roles = {r["path"]: r["role"]["value"] for r in engine.store.table(engine.store.open()[0], "cards").collect()}
+    assert roles == {"a.md": "written by a model", "b.md": "written by a model", "c.md": "C"}
+    assert engine.index().data["files_to_card"] == 0
+
+
+def test_a_dead_process_loses_its_lock(spark, tmp_path):
+    import socket
+    import subprocess
+    import sys
+
+    store = Generations(spark, str(tmp_path / "s"))
+    gone = subprocess.Popen([sys.executable, "-c", ""])
+    gone.wait()
+    store.write("build.lock", json.dumps({"pid": gone.pid, "host": socket.gethostname(), "started_at_ms": 10_000}))
+    store.lock(now_ms=20_000)
+    store.write("build.lock", json.dumps({"pid": 1, "host": socket.gethostname(), "started_at_ms": 10_000}))
+    with pytest.raises(Busy):
+        store.lock(now_ms=20_000)
+    store.write("build.lock", json.dumps({"pid": gone.pid, "host": "elsewhere", "started_at_ms": 10_000}))
+    with pytest.raises(Busy):
+        store.lock(now_ms=20_000)
+
+
+def test_refresh_and_index_ask_before_they_spend(engine, monkeypatch):
+    seen = []
+    out = engine.index(confirm=lambda cost: seen.append(cost) or False)
+    assert out.state == "budget_hit" and out.data["cancelled"] and seen[0]["n"] == 3 and engine.store.open() is None
+    assert engine.refresh(max_usd=0.0).state == "budget_hit"
+    monkeypatch.setattr("cartulary.functions.fixed.REFRESH_USD", 0.0)
+    got = engine.refresh()
+    assert got.state == "budget_hit" and got.data["changed_files"] == 3 and engine.store.open() is None
+
+
+def test_evaluation_stops_at_the_cap_and_keeps_a_summary(engine, spark):
+    engine.index()
+    rows = [(i, "cache entries expire", [], [], False) for i in "ab"]
+    suite = spark.createDataFrame(rows, "id string, query string, must_find array<struct<id:string,fact:string,file:string,line:int>>, poison array<struct<id:string,fact:string>>, negative boolean")
+    whole = engine.evaluate(suite)
+    summary = json.loads(engine.store.read(whole.data["summary"]))
+    assert [q["id"] for q in summary["queries"]] == ["a", "b"] and json.loads(engine.store.read(summary["queries"][0]["artifact"]))["command"] == "query"
+    none = engine.evaluate(suite, max_usd=0.0)
+    assert none.state == "partial" and none.data["asked"] == 0 and not none.data["complete"] and not none.data["green"]
+
+
+def test_no_retry_beyond_the_cap(monkeypatch):
+    for name in ("CARTULARY_URL", "CARTULARY_MODEL", "CARTULARY_KEY"):
+        monkeypatch.setenv(name, "http://127.0.0.1:1/x")
+    monkeypatch.setattr(provider, "backoff_s", lambda attempt: 0.0)
+    capped = provider.HttpProvider(6000, most_usd=0.0)
+    with pytest.raises(provider.ProviderError, match="before provider retry"):
+        capped.answer("s", "u", 1)
+
+
+def test_changes_of_version_control(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    assert corpus.version_control_churn(spark, str(tmp_path)) is None
+    if not shutil.which("git"):
+        return
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git("init")
+    for i in range(2):
+        put(tmp_path, {"a.md": str(i), f"sub/b{i}.md": "x"})
+        git("add", ".")
+        git("commit", "-m", "x")
+    rows = {tuple(r) for r in corpus.version_control_churn(spark, str(tmp_path)).collect()}
+    assert rows == {("a.md", 2), ("sub/b0.md", 1), ("sub/b1.md", 1)}
+    assert {tuple(r) for r in corpus.version_control_churn(spark, str(tmp_path / "sub")).collect()} == {("b0.md", 1), ("b1.md", 1)}
+
+
+def test_schema_and_usage(capsys):
+    assert main(["schema"]) == 0 and "finding" in json.loads(capsys.readouterr().out)
+    assert main(["eval", "."]) == 2 and main(["help"]) == 0
