@@ -72,3 +72,12 @@ def test_held_out_accuracy(spark, sf):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
     held = [r for r in rows if r["held_out"]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.93
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    docs.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda where: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in QUERIES["op7_language_id"](spark, where).collect())
+    changed = plain(str(tmp_path))
+    assert "zz" not in {r[1] for r in changed} and changed == plain(sf)

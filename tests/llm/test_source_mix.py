@@ -90,3 +90,13 @@ def test_whole_table(spark, sf):
     for r in rows:
         t, s = texts[r["doc_id"]]
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t)) and r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6
+    for s, total in want.items():
+        mine = [r for r in rows if texts[r["doc_id"]][1] == s]
+        assert all(r["taken"] in {k * r["size"] for k in range(4)} for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - total) <= 2 * max((r["size"] for r in mine), default=0) + 1, s
+
+
+def test_a_very_long_text_counts_whole(spark):
+    rows = [(1, "w " * 300_000, "a"), *[(i, "one two three", "b") for i in range(2, 40)]]
+    got = {r["doc_id"]: r for r in S.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["size"] == 300_000 and got[1]["taken"] <= 900_000 and got[2]["size"] == 3
