@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +45,11 @@ class Saved:
     it has written what it wants.
     """
 
-    tops: ClassVar[list[str]] = []
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.top = f"{shared_folder(spark)}/cartulary-{uuid.uuid4().hex}"
         self.count = 0
-        self.tops.append(self.top)
+        tops().append(self.top)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{self.count}"
@@ -71,10 +69,19 @@ def delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all tables that this process's operators have saved."""
-    while Saved.tops:
-        delete(spark, Saved.tops.pop())
+_mine = threading.local()
+
+
+def tops() -> list[str]:
+    """Folders of the tables that this thread's operators have saved, oldest first."""
+    return _mine.__dict__.setdefault("tops", [])
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this thread's operators have saved, but for those in the
+    first ``since`` folders."""
+    while len(tops()) > since:
+        delete(spark, tops().pop())
 
 
 def small(table: DataFrame) -> DataFrame:
