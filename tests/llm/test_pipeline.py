@@ -1,3 +1,5 @@
+import glob
+
 import corpus_pipeline
 from cartulary.llm import language_id, line_dedup, simhash_dedup, source_mix
 
@@ -25,7 +27,13 @@ def test_stages_pass_whole_documents_on(spark, sf):
 
 
 def test_run_is_the_stages_in_order(spark, sf):
+    from cartulary.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    tables = lambda: {p for p in glob.glob(f"{folder}/cartulary-*/*")}
+    before = tables()
     out = corpus_pipeline.run(spark, sf)
+    assert len(tables() - before) == 1  # the result; what led to it is deleted
     rows = out.collect()
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns) and rows
     used = {}
@@ -44,3 +52,18 @@ def test_keeps_every_text_with_a_letter_without_labels(spark):
     for lang in ("en", None):
         df = spark.createDataFrame([(i, t, lang) for i, t in enumerate(["words here", "123 !!", None, "Ünï", "more", ""])], "doc_id long, text string, lang string")
         assert {r["doc_id"] for r in language_id.accepted(spark, df).collect()} == {0, 3, 4}
+
+
+def test_stages_keep_clashing_columns_and_take_odd_rows(spark, sf):
+    extra = ["n", "root", "id", "fp", "row", "lid", "k", "pos", "copies", "size", "at", "best", "key", "target", "n_lines", "score"]
+    rows = [(1, "one two three four five six", "a", "en"), (1, "one two three four five six", "a", "en"), (2, "entirely other words stand here now", None, None), (3, None, "b", "en"), (None, "yet another text of several words", "b", "en"), (4, "", "a", "en")]
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*r, *[f"{c}!" for c in extra]) for r in rows], schema)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), schema)
+        assert now.columns == docs.columns, name
+    for r in now.collect():
+        assert [r[c] for c in extra] == [f"{c}!" for c in extra]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert pieces.count() >= now.count() > 0
