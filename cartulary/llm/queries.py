@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import best_fit, embedding_dedup, language_id, license_scan, line_dedup, media_columns, sharding, simhash_dedup, source_mix, token_counts
+from cartulary.llm import best_fit, divergence, embedding_dedup, language_id, license_scan, line_dedup, media_columns, oracles, personal_data, sharding, simhash_dedup, source_mix, token_counts, vector_codes
 from cartulary.llm.common import read
 
 
@@ -72,5 +72,23 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op7_language_id, op8_best_fit, op9_license_scan, op10_embedding_dedup)}
-ORACLES: dict[str, str] = {}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.compress(spark, vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.audit(spark, docs).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(spark, docs)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = personal_data.told
+    return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_media_columns, op5_source_mix, op6_simhash_dedup, op7_language_id, op8_best_fit, op9_license_scan, op10_embedding_dedup, op11_vector_codes, op12_divergence, op13_personal_data)}
+ORACLES: dict[str, str] = {"op11_vector_codes": oracles.lloyd(), "op12_divergence": oracles.DIVERGENCE}
