@@ -25,12 +25,13 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7
 
 
 def documents_with(batches: Iterable[pa.RecordBatch], held: dict, merge: Callable, emit: Callable) -> Iterator[pa.RecordBatch]:
-    """Merges each document into ``held`` (counters by group) and hands them on when
-    they hold HELD entries, and at the end."""
+    """Merges each document, its text the last column, into ``held`` (counters by the columns
+    before) and hands them on when they hold HELD entries, and at the end."""
     size = 0
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            counter = held[lang, source]
+        names = batch.schema.names
+        for *group, text in zip(*(batch.column(c).to_pylist() for c in names)):
+            counter = held[tuple(group)]
             before = len(counter)
             merge(counter, text.translate(FOLD))
             size += len(counter) - before
@@ -38,7 +39,7 @@ def documents_with(batches: Iterable[pa.RecordBatch], held: dict, merge: Callabl
                 yield emit(held)
                 held.clear()
                 size = 0
-    if held:
+    if size:
         yield emit(held)
 
 
@@ -47,14 +48,14 @@ def document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
     return documents_with(batches, defaultdict(Counter), lambda counter, text: counter.update(set(text.split())), rows_of)
 
 
-def rows_of(held: dict[tuple[str, str], Counter]) -> pa.RecordBatch:
-    langs, sources, terms, counts = [], [], [], []
-    for (lang, source), counter in held.items():
-        langs += [lang] * len(counter)
-        sources += [source] * len(counter)
+def rows_of(held: dict[tuple[str, ...], Counter]) -> pa.RecordBatch:
+    groups, terms, counts = [], [], []
+    for group, counter in held.items():
+        groups += [group] * len(counter)
         terms += counter.keys()
         counts += counter.values()
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "source", "term", "n"])
+    columns = [pa.array(c, pa.string()) for c in zip(*groups)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.binary()), pa.array(counts, pa.int64())], names=[*("lang", "source")[: len(columns)], "term", "n"])
 
 
 class Automaton:
@@ -82,9 +83,11 @@ class Automaton:
             cls._made = cls(listed.value)
         return cls._made
 
-    def count(self, text: bytes) -> tuple[list[int], list[bytes]]:
-        """Numbers of the listed terms that occur, and the words beside them."""
+    def count(self, text: bytes, beside: bool = True) -> tuple[list[int], list[bytes]]:
+        """Numbers of the listed terms that occur, and the words ``beside`` them if these are wanted."""
         padded = f" {text.decode('latin-1')} "
+        if not beside:
+            return [i for _, (i, _) in self.found.iter(padded)] if self.terms else [], []
         hits, others, to = [], [], 0
         if self.terms:
             for end, (i, back) in self.found.iter(padded):
@@ -96,20 +99,21 @@ class Automaton:
         return hits, [w.encode("latin-1") for w in others if w]
 
 
-def occurrences(listed: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def occurrences(listed: Broadcast, beside: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function: (lang, source, term, n) of the task's documents, by the
-    automaton of the ``listed`` terms; other words are counted beside it."""
+    automaton of the ``listed`` terms; ``beside`` tells whether a kept term may be among
+    the other words, which are then counted too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton.of(listed)
 
         def merge(counter: Counter, text: bytes) -> None:
-            hits, others = automaton.count(text)
+            hits, others = automaton.count(text, beside)
             counter.update(hits)
             counter.update(others)
 
         def named(held: dict[tuple[str, str], Counter]) -> pa.RecordBatch:
-            return rows_of({g: Counter({automaton.terms[k] if isinstance(k, int) else k: n for k, n in counter.items()}) for g, counter in held.items()})
+            return rows_of({g: {automaton.terms[k] if isinstance(k, int) else k: n for k, n in counter.items()} for g, counter in held.items()})
 
         return documents_with(batches, defaultdict(Counter), merge, named)
 
@@ -133,6 +137,10 @@ def commonest(kept: DataFrame, most: int) -> list[bytes]:
     return [] if least is None else sorted(bytes(r["term"]) for r in by_term.where(size >= least).select("term").collect())
 
 
+def all_listed(kept: DataFrame, listed: list[bytes]) -> bool:
+    return kept.select("term").distinct().count() == len(listed)
+
+
 def share(n: Column, total: Column, v: Column) -> Column:
     """1 + floor(UNIT * (n + PLUS) / (total + PLUS * v)), exactly."""
     whole = lambda c: c.cast("decimal(20,0)")
@@ -152,10 +160,10 @@ def postings(spark: SparkSession, docs: DataFrame, saved: Saved, automaton: int
     Postings: (lang, source, term, n, p) and (lang, term, q) of occurring kept terms.
     """
     part = docs.withColumn("text", F.col("text").cast("binary"))
-    df = part.mapInArrow(document_frequencies, "lang string, source string, term binary, n long")
+    df = part.select("lang", "text").mapInArrow(document_frequencies, "lang string, term binary, n long")
     kept = saved.write(df.groupBy("lang", "term").agg(F.sum("n").alias("df")).where(F.col("df") >= LEAST_DOCS))
-    listed = spark.sparkContext.broadcast(commonest(kept, automaton))
-    found = part.mapInArrow(occurrences(listed), "lang string, source string, term binary, n long")
+    listed = commonest(kept, automaton)
+    found = part.select("lang", "source", "text").mapInArrow(occurrences(spark.sparkContext.broadcast(listed), not all_listed(kept, listed)), "lang string, source string, term binary, n long")
     counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
     counts = saved.write(counts.select("lang", "source", "term", "n"))
     sizes = saved.write(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")))
