@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import functools
 import json
 import os
 import shutil
@@ -82,10 +81,11 @@ def main(argv: list[str] | None = None) -> int:
     from cartulary.plans.engine import Engine, compact
     from cartulary.plans.provider import HttpProvider
     from cartulary.sources import corpus
+    from cartulary.sources.tree import Directory
 
     spark = SparkSession.builder.appName("cartulary").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    files = lambda: corpus.directory(spark, args.root, args.ignore, args.markdown_only)
-    factory = functools.partial(HttpProvider, most_usd=args.max_dollars) if args.model else None
+    files = Directory(spark, args.root, args.ignore, args.markdown_only)
+    factory = HttpProvider if args.model else None
     model = os.environ.get("CARTULARY_MODEL", "none") if args.model else "none"
     churn = corpus.version_control_churn(spark, args.root)
     engine = Engine(spark, files, args.store or f"{args.root}/{fixed.INDEX_DIR}", churn, args.markdown_only, model, tuple(args.ignore))

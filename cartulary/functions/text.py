@@ -40,6 +40,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def without_emphasis(text: Column) -> Column:
     return F.translate(text, "*_`~", "")
 
@@ -50,6 +55,22 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: Numbers whose running sums are built in one piece.
+PIECE = 512
+
+
+def running_sums(steps: Column) -> Column:
+    """Sums of an array's numbers up to each one.
+
+    They are built by pieces, so that a long array isn't copied for each of its numbers.
+    """
+    grown = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    piece = lambda xs: F.slice(F.aggregate(xs, F.array(F.lit(0)), grown), 2, F.greatest(F.size(xs), F.lit(1)))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / PIECE).cast("int"), F.lit(0))), lambda i: piece(F.slice(steps, i * PIECE + 1, F.lit(PIECE))))
+    begun = F.aggregate(pieces, F.array(F.lit(0)), lambda a, xs: grown(a, F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(0))))
+    return F.flatten(F.zip_with(pieces, F.slice(begun, 1, F.size(pieces)), lambda xs, b: F.transform(xs, lambda x: x + b)))
+
+
 def numbered(rows: Column, first: Column) -> Column:
     """Lines with their numbers, as one text."""
     return F.array_join(F.transform(rows, lambda line, i: F.concat((i + first).cast("string"), F.lit("| "), line)), "\n")
@@ -74,7 +95,7 @@ def jsonish(raw: Column) -> Column:
 
 def is_known_harmless(value: Column) -> Column:
     """Blank, already replaced, a UUID or 40 hexadecimal digits: never a secret."""
-    v = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    v = trimmed(value)
     uuid = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     return (v == "") | v.contains("[REDACTED_") | v.rlike(uuid) | v.rlike("^[0-9a-fA-F]{40}$")
 

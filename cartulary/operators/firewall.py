@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import fixed
-from cartulary.functions.text import lines, squeeze, strings, terms, without_emphasis
+from cartulary.functions.text import lines, running_sums, squeeze, strings, terms, without_emphasis
 
 
-def line_of(text: Column, quote: Column, strip=lambda c: c) -> Column:
-    """Line, from 1, at which the squeezed quote first begins in the text's squeezed
-    lines joined by single spaces; null if it doesn't."""
+def flattened(text: Column, strip=lambda c: c) -> Column:
+    """(flat, ends): a text's squeezed lines joined by single spaces, and where each ends,
+    the space behind it counted; once a file, for all quotes."""
     rows = F.transform(lines(text), lambda s: squeeze(strip(s)))
-    at = F.instr(F.array_join(rows, " "), squeeze(strip(quote)))
-    # the last line that begins at or before the place, which is found once
-    start = F.struct(at.alias("at"), F.lit(0).alias("line"), F.lit(0).alias("end"))
-    step = lambda s, r: F.struct(s["at"].alias("at"), (s["line"] + F.when(s["end"] < s["at"], 1).otherwise(0)).alias("line"), (s["end"] + F.length(r) + 1).alias("end"))
-    return F.aggregate(rows, start, step, lambda s: F.when(s["at"] > 0, s["line"]))
+    return F.struct(F.array_join(rows, " ").alias("flat"), running_sums(F.transform(rows, lambda r: F.length(r) + 1)).alias("ends"))
+
+
+def line_of(flat: Column, quote: Column, strip=lambda c: c) -> Column:
+    """Line, from 1, at which the squeezed quote first begins; null if it doesn't.
+
+    Its place is looked up among the lines' ends by halving.
+    """
+    at, n = F.instr(flat["flat"], squeeze(strip(quote))), F.size(flat["ends"])
+    span = F.struct(at.alias("at"), F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.element_at(flat["ends"], mid + 1) < s["at"]
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(s["at"].alias("at"), F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
+    return F.when(at > 0, F.aggregate(steps, span, halve, lambda s: s["lo"] + 1))
 
 
 def near(found: Column, line: Column) -> Column:
@@ -32,18 +45,21 @@ def verify(findings: DataFrame, files: DataFrame) -> DataFrame:
     """``findings`` (path, line, fact, quote, ...) with their ``verdict``: the tier
     ("exact" or "markdown_normalized") of one that holds, else why not.
 
-    Files join on the path by whatever way Spark finds best.  A query's few findings
-    need the files alone that it looked into: hand in no more, lest all texts be
-    dealt out for them.  The second tier is tried where the first has failed.
+    Files join on the path by whatever way Spark finds best, and each is flattened once
+    before that, whatever the number of its findings; the second tier's form is made of
+    prose alone.  A query's few findings need the files alone that it looked into: hand
+    in no more, lest all texts be dealt out for them.
     """
-    joined = findings.join(files.select("path", F.col("text").alias("_text"), F.col("adapter").alias("_adapter")), "path", "left")
-    text, quote, line, plain, bare = (F.col(c) for c in ("_text", "quote", "line", "_plain", "_bare"))
-    first = joined.withColumn("_plain", F.when(text.isNotNull() & ~blank(quote), line_of(text, quote)))
-    again = (F.col("_adapter") == "markdown") & ~near(plain, line) & text.isNotNull() & ~blank(quote)
-    second = first.withColumn("_bare", F.when(again, line_of(text, quote, without_emphasis)))
+    text, quote, line, plain, bare = (F.col(c) for c in ("text", "quote", "line", "_plain", "_bare"))
+    ready = files.where(text.isNotNull()).select("path", flattened(text).alias("_flat"), F.when(F.col("adapter") == "markdown", flattened(text, without_emphasis)).alias("_free"))
+    joined = findings.join(ready, "path", "left")
+    said = F.col("_flat").isNotNull() & ~blank(quote)
+    first = joined.withColumn("_plain", F.when(said, line_of(F.col("_flat"), quote)))
+    again = F.col("_free").isNotNull() & ~near(plain, line) & said
+    second = first.withColumn("_bare", F.when(again, line_of(F.col("_free"), quote, without_emphasis)))
     missed = lambda at: F.concat(F.lit("line_mismatch:"), at.cast("string"))
     verdict = (
-        F.when(text.isNull(), "file_missing")
+        F.when(F.col("_flat").isNull(), "file_missing")
         .when(blank(quote) | blank(F.col("fact")), "empty")
         .when(near(plain, line), "exact")
         .when(near(bare, line), "markdown_normalized")
@@ -51,7 +67,7 @@ def verify(findings: DataFrame, files: DataFrame) -> DataFrame:
         .when(plain.isNotNull(), missed(plain))
         .otherwise("quote_not_in_file")
     )
-    return second.withColumn("verdict", verdict).drop("_text", "_adapter", "_plain", "_bare")
+    return second.withColumn("verdict", verdict).drop("_flat", "_free", "_plain", "_bare")
 
 
 def passed(verified: DataFrame) -> DataFrame:
@@ -84,5 +100,6 @@ def in_order(findings: DataFrame) -> list[Column]:
     return [F.asc_nulls_last("router_rank"), F.desc("score"), F.asc("path"), F.asc("line")]
 
 
-def distinct(findings: DataFrame) -> DataFrame:
-    return findings.dropDuplicates(["path", "line", "quote"])
+def distinct(findings: DataFrame, *of: str) -> DataFrame:
+    """Each path, line and quote once, or once for each value of ``of``."""
+    return findings.dropDuplicates([*of, "path", "line", "quote"])

@@ -1,8 +1,8 @@
 """The registered queries of the engine, each over whole tables.
 
-Where an operator needs inputs that no table has (code, goldens, router output),
-they are inline VALUES; snapshots, headings and findings are derived from
-``documents`` by rules that the oracles repeat.
+Where an operator needs inputs that no table has (code, goldens, answers), a rule makes them of
+every document and a few cases stand inline beside (``values``); snapshots, headings and
+findings are derived from ``documents`` by rules that the oracles repeat.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql.window import Window
 from cartulary.functions import fixed, paths, skeleton
 from cartulary.functions.redact import EMAIL, redact
 from cartulary.functions.text import jsonish, lines, looks_random, strings, terms, token_estimate
-from cartulary.operators import cards, chunk, evalkit, firewall, report, route
+from cartulary.operators import cards, chunk, evalkit, firewall, postings, report, route
 from cartulary.plans import engine, provider, store, values
 from cartulary.sources import corpus
+from cartulary.sources.staged import Staged
 
 QUESTION = "Which license and token does the Apache release mention"
 
@@ -25,6 +26,11 @@ def rows(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {text}")
 
 
+def given(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The cases and rows of ``values`` over the table."""
+    return rows(spark, text.replace(values.DOCUMENTS, f"parquet.`{sf_dir}/documents.parquet`"))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "documents")
 
@@ -110,12 +116,12 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, values.CODE).select("path", F.explode_outer(skeleton.symbols(F.col("text"), paths.adapter(F.col("path")))).alias("s")).where("s is not null")
+    found = given(spark, sf_dir, values.ALL_CODE).select("path", F.explode_outer(skeleton.symbols(F.col("text"), paths.adapter(F.col("path")))).alias("s")).where("s is not null")
     return found.select("path", "s.name", "s.kind", F.col("s.line").cast("long").alias("line"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, values.CODE).select("path", F.explode_outer(skeleton.imports(F.col("text"))).alias("import"))
+    found = given(spark, sf_dir, values.ALL_CODE).select("path", F.explode_outer(skeleton.imports(F.col("text"))).alias("import"))
     return found.where("import is not null")
 
 
@@ -136,7 +142,7 @@ def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(EMAIL.pattern)).cast("long").alias("emails"))
+    return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(EMAIL)).cast("long").alias("emails"))
 
 
 def redact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +150,7 @@ def redact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_jsonish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, values.ANSWERS).select("id", F.explode_outer(F.from_json(jsonish(F.col("raw")), provider.RAW)).alias("f"))
+    found = given(spark, sf_dir, values.ALL_ANSWERS).select("id", F.explode_outer(F.from_json(jsonish(F.col("raw")), provider.RAW)).alias("f"))
     found = found.where("f.fact is not null and f.line is not null")
     return found.select("id", "f.fact", F.col("f.line").cast("long").alias("line"))
 
@@ -152,7 +158,7 @@ def parse_jsonish(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typo_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.filter(strings(fixed.COMMANDS), lambda c: F.levenshtein(F.col("token"), c) == 1)
     hint = F.when(~F.col("token").rlike(r"\s"), F.get(near, F.lit(0)))
-    return rows(spark, values.TOKENS).select("token", hint.alias("hint"))
+    return given(spark, sf_dir, values.ALL_TOKENS).distinct().select("token", hint.alias("hint"))
 
 
 def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,13 +258,13 @@ def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, values.CLAIMS).select("id", firewall.holds_claim(F.col("query"), F.col("quote")).alias("kept"))
+    return given(spark, sf_dir, values.ALL_CLAIMS).select("id", firewall.holds_claim(F.col("query"), F.col("quote")).alias("kept"))
 
 
 def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = firewall.distinct(rows(spark, values.FINDINGS).select("path", "line", "quote", "router_rank", F.col("score").cast("double").alias("score")))
-    order = Window.orderBy(*firewall.in_order(found), F.asc("quote"))  # a query's findings
-    return found.select(F.row_number().over(order).cast("long").alias("ord"), F.col("path").alias("file"), F.col("line").cast("long").alias("line"))
+    found = firewall.distinct(given(spark, sf_dir, values.ALL_FINDINGS), "query_id")
+    order = Window.partitionBy("query_id").orderBy(*firewall.in_order(found), F.asc("quote"))  # a query's findings
+    return found.select("query_id", F.row_number().over(order).cast("long").alias("ord"), F.col("path").alias("file"), F.col("line").cast("long").alias("line"))
 
 
 def weak_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +275,7 @@ def weak_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = F.when(F.col("reasons") == "", F.array().cast("array<string>")).otherwise(F.split("reasons", ";"))
     state = report.query_state(F.col("budget_hit"), F.col("chunks"), F.col("findings"), reasons)
-    return rows(spark, values.RUNS_DONE).select("run_id", state.alias("state"), report.exit_code(state).cast("long").alias("exit_code"))
+    return given(spark, sf_dir, values.ALL_RUNS).select("run_id", state.alias("state"), report.exit_code(state).cast("long").alias("exit_code"))
 
 
 def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,30 +321,73 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.retention(rows(spark, values.GENERATIONS), F.lit("gen-300")).select("name", "keep")
+    return store.retention(given(spark, sf_dir, values.ALL_GENERATIONS), F.col("current"), of=["store"]).select("store", "name", "keep")
 
 
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rows(spark, values.EVAL_FINDINGS).select("query_id", F.col("file").alias("path"))
-    return evalkit.recall(rows(spark, values.GOLDENS), found)
+    found = given(spark, sf_dir, values.ALL_EVAL_FINDINGS).select("query_id", F.col("file").alias("path"))
+    return evalkit.recall(given(spark, sf_dir, values.ALL_GOLDENS), found)
 
 
 def eval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalkit.covered(rows(spark, values.GOLDENS), rows(spark, values.EVAL_FINDINGS)).select("query_id", "id", "covered")
+    return evalkit.covered(given(spark, sf_dir, values.ALL_GOLDENS), given(spark, sf_dir, values.ALL_EVAL_FINDINGS)).select("query_id", "id", "covered")
 
 
 def eval_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalkit.survivors(rows(spark, values.POISON), rows(spark, values.EVAL_FINDINGS))
+    return evalkit.survivors(given(spark, sf_dir, values.ALL_POISON), given(spark, sf_dir, values.ALL_EVAL_FINDINGS))
 
 
 def eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evalkit.gates(rows(spark, values.RUN_TOTALS))
+    return evalkit.gates(given(spark, sf_dir, values.ALL_TOTALS))
 
 
 def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.answer(spark, corpus.documents(spark, sf_dir), QUESTION, window=10)
 
 
+def indexed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by an inverted index that is written by bucket and read by the question's buckets."""
+    staged = Staged(spark)
+    stored = staged.write(scored(spark, sf_dir))
+    posted = staged.write(postings.postings(stored), "bucket")
+    known = staged.write(postings.counts(posted), "bucket")
+    return postings.candidates(spark, posted, stored.select("path"), QUESTION, known)
+
+
+def postings_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document counts of an index whose changed files' postings lie as a layer over the old one."""
+    staged, (now, old) = Staged(spark), snapshots(spark, sf_dir)
+    text = F.when(F.col("doc_id") % 15 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    d = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    then = d.where("doc_id % 10 <> 0").select("path", terms(text).alias("terms"))
+    gone = d.where("doc_id % 100 = 7").select(F.concat(F.lit("gone "), "path").alias("path"), terms(F.col("text")).alias("terms"))
+    base = staged.write(postings.postings(staged.write(then.unionByName(gone))), "bucket")
+    touched = staged.write(cards.differences(now.select("path", "hash"), old.select("path", "hash")).where("change <> 'unchanged'").select("path"))
+    changed = staged.write(d.join(touched, "path", "left_semi").select("path", terms(F.col("text")).alias("terms")))
+    layer = staged.write(postings.postings(changed), "bucket")
+    return postings.counts(store.layered([base, layer], [touched])).select("term", "df")
+
+
+def staleness_sights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes by size and time at first sight; texts are read of undecided paths alone."""
+    staged, id_ = Staged(spark), F.col("doc_id")
+    d = docs(spark, sf_dir).select("doc_id", id_.cast("string").alias("path"), "text")
+    size, none = F.octet_length("text").cast("long"), F.lit(None).cast("string").alias("skip_reason")
+    now = d.select("path", F.when(id_ % 10 == 0, "pdf").otherwise("markdown").alias("adapter"), size.alias("size"), (id_ * 1000).alias("mtime_ms"))
+    text = F.when(id_ % 15 == 1, F.concat("text", F.lit("x"))).when(id_ % 15 == 3, F.translate("text", "e", "x")).otherwise(F.col("text"))
+    later = F.when(id_ % 15 < 5, 1).otherwise(0)
+    old = d.where("doc_id % 10 <> 9").withColumn("text", text).select("path", F.sha2("text", 256).alias("hash"), size.alias("size"), (id_ * 1000 + later).alias("mtime_ms"), none)
+    gone = d.where("doc_id % 50 = 8").select(F.concat(F.lit("gone "), "path").alias("path"), F.sha2("text", 256).alias("hash"), size.alias("size"), (id_ * 1000).alias("mtime_ms"), none)
+    then = old.unionByName(gone)
+    first = staged.write(cards.at_first_sight(now, then))
+    read = d.join(first.where("change = 'undecided'").select("path"), "path", "left_semi").select("path", "text", none)
+    return cards.decided(first, read, then)
+
+
+def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.sha2(redact(F.col("text"))["text"], 256).alias("text_hash"))
+
+
 QUERIES = {
     "terms": terms_query, "lines": lines_query, "token_estimate": token_estimate_query, "content_hash": content_hash,
     "adapter_mix": adapter_mix, "sensitive_paths": sensitive_paths, "walk_filter": walk_filter, "outline": outline,
@@ -351,5 +400,6 @@ QUERIES = {
     "budget_admission": budget_admission, "budget_pack": budget_pack, "index_cost": index_cost, "chunk_cost": chunk_cost,
     "spend_rollup": spend_rollup, "module_map": module_map, "entry_points": entry_points, "coverage_counts": coverage_counts,
     "retention": retention, "eval_recall": eval_recall, "eval_coverage": eval_coverage, "eval_poison": eval_poison,
-    "eval_gates": eval_gates, "answer": answer,
+    "eval_gates": eval_gates, "answer": answer, "indexed_candidates": indexed_candidates,
+    "postings_after_changes": postings_after_changes, "staleness_sights": staleness_sights, "redacted_text": redacted_text,
 }

@@ -6,10 +6,13 @@ a query's bounded findings only.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import hashlib
 import json
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +22,18 @@ from pyspark.sql.window import Window
 from cartulary.functions import fixed
 from cartulary.functions.text import token_estimate
 from cartulary.operators import cards as cards_
-from cartulary.operators import chunk, evalkit, firewall, report, route
+from cartulary.operators import chunk, evalkit, firewall, postings, report, route
 from cartulary.plans import provider as seam
+from cartulary.plans.ledger import Ledger
 from cartulary.plans.store import Generations
 from cartulary.sources import corpus
+from cartulary.sources.staged import Staged
+from cartulary.sources.tree import Directory
+
+#: Chunks that are asked at once under a cap; files of an index's wave, and most waves.
+WAVE_CHUNKS, WAVE_FILES, MOST_WAVES = 8, 500, 200
+#: What the answers of an index's calls are kept under; a question's, under its text.
+CARDS = "cards\n"
 
 
 @dataclass
@@ -49,7 +60,8 @@ def answer(spark: SparkSession, files: DataFrame, query: str, mode: str = "fixed
     if term_sets is None:
         term_sets = cards_.own_term_sets(files)
     picked = route.candidates(spark, term_sets, query)
-    chosen = files.join(F.broadcast(picked), "path")  # at most CANDIDATES rows
+    picked = spark.createDataFrame(picked.collect(), picked.schema)  # at most CANDIDATES rows, found once
+    chosen = files.join(F.broadcast(picked), "path")
     cut = chunk.chunks(chosen.withColumns({"router_rank": F.lit(None).cast("int"), "look_for": F.lit(None).cast("string")}), mode, window, overlap)
     ranked = chunk.rank_chunks(cut, query, cap)
     found = seam.lexical_findings(ranked, route.query_terms(spark, query))
@@ -62,38 +74,74 @@ class Engine:
     """Commands over a corpus and a store.
 
     ``files`` makes the corpus anew when called: a DataFrame of (path, text,
-    adapter, skip_reason) as ``corpus.walk`` and ``corpus.directory`` give it.
+    adapter, skip_reason) as ``corpus.walk`` gives it.  A ``tree.Directory`` is one too, and tells
+    sizes and times without opening a file, so that only what is asked for is read.
     """
 
     def __init__(self, spark: SparkSession, files: Callable[[], DataFrame], store: str, churn: DataFrame | None = None, markdown_only: bool = False, model: str = "none", ignore: tuple[str, ...] = ()):
         self.spark, self.files, self.churn, self.markdown_only = spark, files, churn, markdown_only
         self.model, self.ignore = model, ignore
         self.store = Generations(spark, store)
+        self.tree = files if isinstance(files, Directory) else None
+
+    @contextlib.contextmanager
+    def work(self) -> Iterator[Staged]:
+        """Tables of one command, deleted when it ends; the directory is listed anew for it."""
+        if self.tree:
+            self.tree.forget()
+        staged = Staged(self.spark, f"{self.store.top}/work-{uuid.uuid4().hex}")
+        try:
+            yield staged
+        finally:
+            staged.close()
+            if self.tree:
+                self.tree.forget()
+
+    @staticmethod
+    def answers_at(about: str) -> str:
+        return f"answers/{hashlib.sha256(about.encode()).hexdigest()[:16]}"
+
+    def ledger(self, about: str) -> Ledger:
+        return Ledger(self.store.fs.makeQualified(self.store.path(self.answers_at(about))).toString())
 
     def manifest(self) -> dict:
-        return cards_.manifest(self.model, self.ignore, self.markdown_only)
+        return cards_.manifest(self.model, self.ignore, self.markdown_only, self.tree.rules_sign() if self.tree else "")
+
+    def current(self) -> tuple[str, dict] | None:
+        """The generation, if it was made as this engine would make it."""
+        opened, mine = self.store.open(), self.manifest()
+        return opened if opened and {k: opened[1].get(k) for k in mine} == mine else None
 
     def old_cards(self) -> DataFrame | None:
-        opened = self.store.open()
-        if not opened or {k: opened[1].get(k) for k in self.manifest()} != self.manifest():
-            return None
-        return self.store.table(opened[0], "cards")
+        opened = self.current()
+        return self.store.table(opened[0], "cards") if opened else None
 
     def estimate(self) -> dict:
         """(n, usd) of the files whose cards have to be made."""
-        files, old = corpus.accepted(self.files()), self.old_cards()
-        return cards_.index_cost(cards_.to_card(files, old) if old is not None else files).first().asDict()
+        with self.work() as staged:
+            drafts = staged.write(cards_.drafts(self.files()))
+            return cards_.index_cost(self.to_card(drafts, self.old_cards())).first().asDict()
+
+    @staticmethod
+    def to_card(drafts: DataFrame, old: DataFrame | None) -> DataFrame:
+        work = drafts.where("skip_reason is null and not blank")
+        return work.join(old.select("path", "hash"), ["path", "hash"], "left_anti") if old is not None else work
 
     def index(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None, confirm: Callable[[dict], bool] | None = None) -> Envelope:
         """A new generation; cards of unchanged files keep their model fields.
 
-        ``confirm`` sees the estimate before anything is spent and may decline.
-        With a provider's ``factory`` the others' model fields are written by it;
-        a file that it fails on is skipped with the reason and made next time.
+        Each file is read once, into drafts that all tables come from.  ``confirm`` sees the estimate before
+        anything is spent and may decline.  With a provider's ``factory`` the others' model
+        fields are written by it, in waves under one cap; a file that it fails on, or that the cap leaves no
+        room for, is skipped with the reason and made next time.  Answers of a build that
+        fails are found again by the next one.
         """
-        walked = self.files()
-        files, old = corpus.accepted(walked), self.old_cards()
-        work = cards_.to_card(files, old) if old is not None else files
+        with self.work() as staged:
+            return self._index(staged, max_usd, factory, confirm)
+
+    def _index(self, staged: Staged, max_usd: float | None, factory: Callable[[], seam.Provider] | None, confirm: Callable[[dict], bool] | None) -> Envelope:
+        drafts, old = staged.write(cards_.drafts(self.files(), head=bool(factory))), self.old_cards()
+        work = self.to_card(drafts, old)
         cost = cards_.index_cost(work).first().asDict()
         out = Envelope("index", data={"files_to_card": cost["n"], "estimated_usd": cost["usd"]})
         if max_usd is not None and cost["usd"] > max_usd:
@@ -102,41 +150,59 @@ class Engine:
         if confirm and cost["usd"] > 0 and not confirm(cost):
             out.state, out.data["cancelled"] = "budget_hit", True
             return out
-        fresh, skipped = cards_.skeletons(files, self.churn), corpus.rejected(walked)
+        fresh, skipped = drafts.where("skip_reason is null"), corpus.rejected(drafts)
         model = [cards_.model_fields(old)] if old is not None else []
         if factory:
-            made = seam.write_cards(work, factory).persist()
-            spend = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_tok", "out_tok", "retries")], F.count(F.lit(1)).alias("calls")).first().asDict()
-            out.spend = spend | {"usd": spend["in_tok"] / 1e6 * fixed.USD_IN + spend["out_tok"] / 1e6 * fixed.USD_OUT}
-            failed = made.where("error is not null").select("path", F.col("error").alias("reason"), F.lit(None).cast("string").alias("adapter"))
+            work = staged.write(work.select("path", "hash", "text", "tokens"))
+            waves = min(MOST_WAVES, max(1, -(-cost["n"] // WAVE_FILES)))
+            send = lambda rows, left: seam.write_cards(rows, factory, ledger=self.ledger(CARDS), left_usd=left)
+            usd = (F.col("tokens") + 700) / 1e6 * fixed.USD_IN + 0.001
+            made, refused, out.spend = seam.in_waves(work, F.pmod(F.xxhash64("path"), F.lit(waves)), usd, max_usd, send, staged.write)
+            failed = refused.select("path", F.lit("budget_hit").alias("reason"), F.lit(None).cast("string").alias("adapter"))
+            if made is not None:
+                failed = failed.unionByName(made.where("error is not null").select("path", F.col("error").alias("reason"), F.lit(None).cast("string").alias("adapter")))
+                model.append(made.where("error is null").select("path", "hash", *[F.col(c).alias(f"m_{c}") for c in cards_.MODEL_FIELDS]))
             skipped = skipped.unionByName(failed)
             fresh = fresh.join(failed.select("path"), "path", "left_anti")
-            model.append(made.where("error is null").select("path", "hash", *[F.col(c).alias(f"m_{c}") for c in cards_.MODEL_FIELDS]))
         known = functools.reduce(DataFrame.unionByName, model) if model else None
-        fresh = cards_.carded(fresh, known)
-        meta = files.select("path", "hash", *[c for c in ("size", "mtime_ms") if c in files.columns])
-        tables = {"cards": fresh, "terms": cards_.term_sets(fresh, files), "meta": meta, "skipped": skipped}
-        out.data["generation"] = self.store.publish(tables, self.manifest() | {"generated_at_ms": int(time.time() * 1000)})
+        made_cards = cards_.carded(cards_.changed_often(fresh, self.churn), known)
+        tables = index_tables(made_cards, drafts, skipped)
+        out.data["generation"] = self.store.publish(tables, self.manifest() | {"generated_at_ms": int(time.time() * 1000)}, derived=posted)
+        self.store.delete(self.answers_at(CARDS))
         reasons = self.store.table(out.data["generation"], "skipped").agg(F.collect_set("reason").alias("r"))
         n = self.store.table(out.data["generation"], "cards").count()
         out.state = reasons.select(report.index_state(F.lit(n), F.col("r"), F.col("r"))).first()[0]
         out.data["cards"] = n
         return out
 
-    def changes(self) -> DataFrame | None:
+    def changes(self, staged: Staged) -> DataFrame | None:
         """(path, change) of the corpus against the current generation, files that
-        it left out not counted."""
+        it left out not counted.
+
+        In a directory names, sizes and times decide first, and only what they leave open is
+        opened; a table's texts are hashed.
+        """
         opened = self.store.open()
         if not opened:
             return None
-        now = corpus.accepted(self.files())
-        return cards_.differences(now, self.store.table(opened[0], "meta")).where("change <> 'unchanged'")
+        then = self.store.table(opened[0], "meta")
+        if not self.tree:
+            now = corpus.accepted(self.files())
+            return cards_.differences(now, then.where("skip_reason is null")).where("change <> 'unchanged'")
+        first = staged.write(cards_.at_first_sight(self.tree.meta(), then))
+        open_ = first.where("change = 'undecided'")
+        if open_.isEmpty():
+            return first.select("path", "change").where("change <> 'unchanged'")
+        return cards_.decided(first, self.tree.read(open_), then).where("change <> 'unchanged'")
 
     def staleness(self) -> dict:
-        opened = self.store.open()
-        if not opened or {k: opened[1].get(k) for k in self.manifest()} != self.manifest():
+        with self.work() as staged:
+            return self._staleness(staged)
+
+    def _staleness(self, staged: Staged) -> dict:
+        if not self.current():
             return {"stale": True, "reason": "manifest_mismatch", "changed_files": 0}
-        n = self.changes().count()
+        n = self.changes(staged).count()
         return {"stale": n > 0, "reason": "content_hash_mismatch" if n else "current", "changed_files": n}
 
     def refresh(self, max_usd: float | None = None, factory: Callable[[], seam.Provider] | None = None) -> Envelope:
@@ -150,45 +216,68 @@ class Engine:
                 return Envelope("index", "budget_hit", {"hint": hint, "estimated_usd": cost["usd"], "max_usd": most, "changed_files": cost["n"]})
         return self.index(max_usd, factory)
 
-    def query(self, text: str, factory: Callable[[], seam.Provider] | None = None, router: DataFrame | None = None, routing: bool = False, mode: str = "boundary_overlap", window: int = fixed.CHUNK_LINES, cap: int = fixed.CHUNK_CAP, max_usd: float | None = None, budget_tokens: int | None = None) -> Envelope:
+    def candidates(self, generation: str, text: str) -> DataFrame:
+        """Files for a question, from the postings of its own terms."""
+        table = lambda name: self.store.table(generation, name)
+        counted = table("counts") if len(self.store.layers(generation)) == 1 else None
+        return postings.candidates(self.spark, table("postings"), table("cards").select("path"), text, counted)
+
+    def query(self, text: str, factory: Callable[[], seam.Provider] | None = None, router: DataFrame | None = None, routing: bool = False, mode: str = "boundary_overlap", window: int = fixed.CHUNK_LINES, cap: int = fixed.CHUNK_CAP, max_usd: float | None = None, budget_tokens: int | None = None, wave: int = WAVE_CHUNKS) -> Envelope:
         """Findings that hold, of the current generation; refuses a stale index.
 
         ``router`` are candidates from outside; with ``routing`` the provider names
-        them.  Without ``factory`` the offline lexical extractor finds lines.
+        them.  Without ``factory`` the offline lexical extractor finds lines.  Only candidates' files
+        are read, once.  Chunks are sent ``wave`` at a time under one cap.
         """
-        opened = self.store.open()
-        if not opened:
-            return Envelope("query", "index_missing", {"hint": "build the index first"})
-        stale = self.staleness()
-        if stale["stale"]:
-            return Envelope("query", "index_stale", stale)
-        files = corpus.accepted(self.files()).join(self.store.table(opened[0], "cards").select("path"), "path", "left_semi")
-        picked = route.candidates(self.spark, self.store.table(opened[0], "terms"), text)
+        with self.work() as staged:
+            opened = self.store.open()
+            if not opened:
+                return Envelope("query", "index_missing", {"hint": "build the index first"})
+            stale = self._staleness(staged)
+            if stale["stale"]:
+                return Envelope("query", "index_stale", stale)
+            out = self._query(staged, opened[0], text, factory, router, routing, mode, window, cap, max_usd, budget_tokens, wave)
+        if out.state != "unanswered" or "dropped" in out.data:
+            self.store.keep_run(asdict(out))
+        if factory:
+            self.store.delete(self.answers_at(text))
+        return out
+
+    def texts(self, picked: DataFrame) -> DataFrame:
+        """The corpus's files among ``picked`` (path), with text."""
+        if not self.tree:
+            return corpus.accepted(self.files()).join(picked.select("path"), "path", "left_semi")
+        return corpus.accepted(self.tree.read(self.tree.meta().join(picked.select("path"), "path", "left_semi")))
+
+    def _query(self, staged: Staged, generation: str, text: str, factory: Callable[[], seam.Provider] | None, router: DataFrame | None, routing: bool, mode: str, window: int, cap: int, max_usd: float | None, budget_tokens: int | None, wave: int) -> Envelope:
+        cards = self.store.table(generation, "cards")
         none = self.spark.createDataFrame([], "path string, router_rank int, look_for string")
         if router is None and factory and routing:
-            router = seam.route(self.store.table(opened[0], "cards"), factory, text)
-        known = (router if router is not None else none).join(files.select("path"), "path", "left_semi")
-        merged = route.merge(known, picked)
+            router = seam.route(cards, factory, text)
+        known = (router if router is not None else none).join(cards.select("path"), "path", "left_semi")
+        merged = staged.write(route.merge(known, self.candidates(generation, text)))
+        files = staged.write(self.texts(merged))
         chosen = files.join(merged, "path")
-        cut = chunk.chunks(chosen, mode, window)
-        ranked = chunk.rank_chunks(cut, text, cap)
+        ranked = chunk.rank_chunks(chunk.chunks(chosen, mode, window), text, cap)
         cost = token_estimate(F.col("body")) / 1e6 * fixed.USD_IN + 0.006
-        rows = ranked.withColumn("cost", cost).orderBy(F.asc_nulls_last("router_rank"), F.desc("score"), "path", "first_line").collect()
-        if not rows:
+        place = F.row_number().over(Window.orderBy(F.asc_nulls_last("router_rank"), F.desc("score"), "path", "first_line"))  # at most ``cap`` chunks
+        ranked = staged.write(ranked.withColumn("cost", cost).withColumn("place", place))
+        n, top = ranked.agg(F.count(F.lit(1)), F.max("score")).first()
+        if not n:
             return Envelope("query", "unanswered", {"findings": []})
-        ranked = self.spark.createDataFrame(rows, ranked.withColumn("cost", cost).schema)
-        ranked = ranked.withColumn("place", F.monotonically_increasing_id()).coalesce(1)
-        ranked = chunk.admitted(ranked, "cost", max_usd, ["place"]) if max_usd is not None else ranked.withColumn("admitted", F.lit(True))
-        go = ranked.where("admitted")
-        refused = ranked.where("not admitted").select("path", F.col("first_line").alias("line"), F.lit(None).cast("string").alias("fact"), F.lit(None).cast("string").alias("quote"), F.lit("budget_hit_before_chunk").alias("reason"))
         if factory:
-            answers = seam.ask(go, factory, text).persist()
-            found, failed = seam.findings_of(answers, go), seam.failures_of(answers).unionByName(refused)
-            spend = answers.agg(F.sum("in_tok").alias("in_tok"), F.sum("out_tok").alias("out_tok"), F.count(F.lit(1)).alias("calls"), F.sum("retries").alias("retries")).first().asDict()
-            spend["usd"] = (spend["in_tok"] or 0) / 1e6 * fixed.USD_IN + (spend["out_tok"] or 0) / 1e6 * fixed.USD_OUT
+            send = lambda rows, left: seam.ask(rows, factory, text, ledger=self.ledger(text), left_usd=left)
+            answers, late, spend = seam.in_waves(ranked, F.floor((F.col("place") - 1) / wave), F.col("cost"), max_usd, send, staged.write)
+            nothing = self.spark.createDataFrame([], "path string, first_line int, raw string, in_tok long, out_tok long, retries long, error string")
+            answers = answers if answers is not None else nothing
+            found, failed = seam.findings_of(answers, ranked), seam.failures_of(answers)
         else:
-            found, failed, spend = seam.lexical_findings(go, route.query_terms(self.spark, text)), refused, {}
-        checked = firewall.verify(found, chosen.select(*files.columns)).persist()
+            admitted = chunk.admitted(ranked, "cost", max_usd, ["place"]) if max_usd is not None else ranked.withColumn("admitted", F.lit(True))
+            late, spend, failed = admitted.where("not admitted"), {}, None
+            found = seam.lexical_findings(admitted.where("admitted"), route.query_terms(self.spark, text))
+        refused = late.select("path", F.col("first_line").alias("line"), F.lit(None).cast("string").alias("fact"), F.lit(None).cast("string").alias("quote"), F.lit("budget_hit_before_chunk").alias("reason"))
+        failed = failed.unionByName(refused) if failed is not None else refused
+        checked = staged.write(firewall.verify(found, files))
         held, gone = firewall.passed(checked), firewall.dropped(checked).select("path", "line", "fact", "quote", "reason").unionByName(failed)
         claim = firewall.holds_claim(F.lit(text), F.col("quote"))
         gone = gone.unionByName(held.where(~claim).select("path", "line", "fact", "quote", F.lit("partial_claim_match").alias("reason")))
@@ -198,29 +287,35 @@ class Engine:
             best = packed(held, budget_tokens)
         findings = [r.asDict() for r in best.collect()]
         drops = [r.asDict() for r in gone.collect()]
-        checked.unpersist()
-        top = max((r["score"] for r in rows), default=0.0)
-        weak = bool(findings) and max(f["score"] for f in findings) < top * fixed.WEAK_RATIO
-        state = self.spark.range(1).select(report.query_state(F.lit(False), F.lit(len(rows)), F.lit(len(findings)), F.array(*[F.lit(d["reason"]) for d in drops]) if drops else F.array().cast("array<string>"))).first()[0]
-        out = Envelope("query", state, {"findings": findings, "dropped": drops, "weak_signal": weak, "generation": opened[0]}, spend)
-        self.store.keep_run(asdict(out))
-        return out
+        weak = bool(findings) and max(f["score"] for f in findings) < (top or 0.0) * fixed.WEAK_RATIO
+        state = self.spark.range(1).select(report.query_state(F.lit(False), F.lit(n), F.lit(len(findings)), F.array(*[F.lit(d["reason"]) for d in drops]) if drops else F.array().cast("array<string>"))).first()[0]
+        return Envelope("query", state, {"findings": findings, "dropped": drops, "weak_signal": weak, "generation": generation}, spend)
 
     def brief(self, budget_tokens: int | None = None) -> Envelope:
-        """The module map, entry points and coverage; staleness is told, not enforced."""
+        """The module map, entry points and coverage; staleness is told, not enforced.
+
+        With a budget only as much of the map as that holds leaves the executors.
+        """
         opened = self.store.open()
         if not opened:
             return Envelope("brief", "index_missing", {"hint": "build the index first"})
         mine, skipped = self.store.table(opened[0], "cards"), self.store.table(opened[0], "skipped")
         plain = lambda df: [r.asDict(True) for r in df.collect()]
+        dirs: dict[str, list] = {}
+        if budget_tokens is None:
+            dirs = {r["dir"]: r["files"] for r in plain(cards_.module_map(mine).orderBy("dir"))}
+        else:
+            for r in plain(cards_.map_within(mine, 4 * budget_tokens).orderBy("dir", "entry.path")):
+                dirs.setdefault(r["dir"], []).append(r["entry"])
         data = {
             "generation": opened[0],
-            "module_map": {r["dir"]: r["files"] for r in plain(cards_.module_map(mine))},
+            "module_map": dirs,
             "entry_points": plain(cards_.entry_points(mine).select("path", "role", F.size("imports").alias("imports"), "churn", "harness_meta")),
             "coverage": plain(report.coverage(skipped)),
             **self.staleness(),
         }
         if budget_tokens is not None:
+            # a map that was cut reaches the budget by itself, so that its end is never seen
             text = self.spark.range(1).select(report.truncated(F.lit(json.dumps(data)), budget_tokens)).first()[0]
             data = json.loads(text)
         return Envelope("brief", data=data)
@@ -266,6 +361,22 @@ class Engine:
         return out
 
 
+def index_tables(made: DataFrame, drafts: DataFrame, skipped: DataFrame) -> dict[str, DataFrame]:
+    """A generation's tables from its cards, with what the drafts know besides.
+
+    ``meta`` has a row for each file that was opened, one that its content left out too.
+    """
+    read = drafts.where("skip_reason is null or skip_reason in ('decode_error', 'binary_nul', 'unsupported_or_tool_missing')")
+    meta = read.select("path", F.when(F.col("skip_reason").isNull(), F.col("hash")).alias("hash"), "size", "mtime_ms", "skip_reason")
+    return {"cards": made.select(*cards_.STORED), "terms": cards_.term_sets(made), "meta": meta, "skipped": skipped}
+
+
+def posted(table: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The inverted index of a generation's terms."""
+    rows = postings.postings(table("terms"))
+    return {"postings": rows, "counts": postings.counts(rows)}
+
+
 def packed(findings: DataFrame, budget_tokens: int) -> DataFrame:
     """``findings`` of one query in their final order, quotes beyond the budget left out."""
     place = F.row_number().over(Window.orderBy(*firewall.in_order(findings)))  # a query's findings

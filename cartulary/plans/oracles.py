@@ -13,6 +13,11 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 QUESTION = "'Which license and token does the Apache release mention'"
 
 
+def ALL(name: str) -> str:
+    """The cases and rows of that name over DuckDB's table."""
+    return getattr(v, f"ALL_{name}").replace(v.DOCUMENTS, "documents")
+
+
 def low(text: str) -> str:
     return LOW.format(text)
 
@@ -90,6 +95,9 @@ FENCED = r"regexp_replace(trim(regexp_replace(trim(raw), '^```[a-zA-Z]*\n?', '')
 COUNTER = " or ".join(f"contains(low_fact, '{c.replace(chr(39), chr(39) * 2)}')" for c in fixed.COUNTER)
 RESTRICT = "(contains(lower({0}), 'limited to') or contains(lower({0}), 'no more than') or list_has_any({1}, ['only', 'solely', 'merely', 'exclusively', 'just']))"
 
+# Texts of an older snapshot: longer, of the same length but other letters, or the same at another time.
+THEN = "case doc_id % 15 when 1 then text || 'x' when 3 then translate(text, 'e', 'x') else text end"
+
 ORACLES = {
     "terms": f"select doc_id, cast(len(t) as bigint) as n_terms, coalesce(list_aggregate(list_sort(t), 'string_agg', ' '), '') as sorted_terms from (select doc_id, {terms('text')} as t from documents)",
     "lines": f"select doc_id, line_no, line from {each_line('documents')}",
@@ -107,10 +115,10 @@ select path, list_has_any(parts, ['.ssh', '.aws', '.kube', '.docker', '.gnupg',
     "coverage_counts": f"with r as (select path, adapter, case when adapter <> 'markdown' then 'unsupported_markdown_gate' {REASON} end as reason from {MAPPED}) select adapter, count(*) as n from r where reason like 'unsupported%' or reason = 'binary_or_unsupported' group by adapter",
     "outline": f"select doc_id, line_no as line, cast(2 as bigint) as level, trim(substr(line, 4)) as text from {HEADED} where starts_with(line, '## ')",
     "symbols": rf"""
-with c as {each_line(v.CODE.replace(') AS', ') AS'), 'path')}
-select path, regexp_extract(line, '{SYMBOL}', 1) as name, regexp_extract(line, '^\s*(\S+)', 1) as kind, line_no as line from c where path not like '%.md' and regexp_matches(line, '{SYMBOL}')
-union all select path, trim(regexp_extract(line, '^\s*#{{1,6}} (.*)$', 1)), 'heading', line_no from c where path like '%.md' and regexp_matches(line, '^\s*#{{1,6}} ')""",
-    "imports": f"select path, left(trim(line), 240) as \"import\" from {each_line(v.CODE, 'path')} where regexp_matches(line, '{IMPORT}')",
+with c as {each_line(ALL('CODE'), 'path')}
+select path, regexp_extract(line, '{SYMBOL}', 1) as name, regexp_extract(line, '^\s*(\S+)', 1) as kind, line_no as line from c where path not like '%.md' and regexp_matches(line, '{SYMBOL}') qualify row_number() over (partition by path order by line_no) <= 200
+union all select path, trim(regexp_extract(line, '^\s*#{{1,6}} (.*)$', 1)), 'heading', line_no from c where path like '%.md' and regexp_matches(line, '^\s*#{{1,6}} ') qualify row_number() over (partition by path order by line_no) <= 200""",
+    "imports": f"select path, left(trim(line), 240) as \"import\" from {each_line(ALL('CODE'), 'path')} where regexp_matches(line, '{IMPORT}') qualify row_number() over (partition by path order by line_no) <= 200",
     "defined_terms": r"select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?m)^\s*(?:\*\*)?([A-Z][A-Za-z0-9 _/-]{2,40})(?:\*\*)?\s*[:—-]', 1), lambda x: trim(x)))) as term from documents",
     "roles": f"""
 select {VPATH} as path, case when doc_id % 10 in (2, 3, 4) or h is null then case when doc_id % 10 in (2, 3, 4) and h is not null then left(h, 120) else ({VADAPTER}) || ' file' end else left(h, 120) end as role
@@ -122,12 +130,12 @@ select doc_id, token, not ({HARMLESS}) and length(token) >= 32 and length(token)
     "email_counts": f"select doc_id, cast(len(regexp_extract_all(text, '{EMAIL}')) as bigint) as emails from documents",
     "redact": f"select doc_id, cast(len(regexp_extract_all(text, '{EMAIL}')) as bigint) as n_redactions from documents",
     "parse_jsonish": rf"""
-with s as (select id, replace(case when trim(raw) like '```%' then {FENCED} else trim(raw) end, chr(1), '') as j from {v.ANSWERS}),
+with s as (select id, replace(case when trim(raw) like '```%' then {FENCED} else trim(raw) end, chr(1), '') as j from {ALL('ANSWERS')}),
 e as (select id, unnest(cast(json_extract(j, '$[*]') as json[])) as f from s)
 select id, json_extract_string(f, '$.fact') as fact, cast(json_extract_string(f, '$.line') as bigint) as line from e where json_extract_string(f, '$.fact') is not null and json_extract_string(f, '$.line') is not null""",
     "typo_hint": f"""
 with c as (select * from (values {', '.join(f"({i}, '{c}')" for i, c in enumerate(fixed.COMMANDS))}) as c(i, cmd))
-select token, (select cmd from c where levenshtein(token, cmd) = 1 and not regexp_matches(token, '\\s') order by i limit 1) as hint from {v.TOKENS}""",
+select token, (select cmd from c where levenshtein(token, cmd) = 1 and not regexp_matches(token, '\\s') order by i limit 1) as hint from (select distinct token from {ALL('TOKENS')})""",
     "churn": "select user_id, count(*) as churn from events where ts >= (select max(ts) from events) - interval 14 days group by user_id",
     "reuse_join": f"with {SNAPSHOTS} select n.doc_id, o.path is not null as reused, o.role from now_ n left join old_ o on n.path = o.path and n.hash = o.hash",
     "work_set": f"with {SNAPSHOTS} select n.doc_id from now_ n where not exists (select 1 from old_ o where o.path = n.path and o.hash = n.hash)",
@@ -153,13 +161,14 @@ select doc_id, first_line, distinct_hits, total_hits from s where distinct_hits
     "quote_verify": f"with {FINDINGS} select doc_id, line, verdict from verdicts",
     "drop_counts": f"with {FINDINGS} select verdict as reason, count(*) as n from verdicts where verdict not in ('exact', 'markdown_normalized') group by 1",
     "exact_claim": rf"""
-with c as (select id, quote, trim(regexp_replace(trim(query), '[?.!]+$', '')) as bare from {v.CLAIMS}),
+with c as (select id, quote, trim(regexp_replace(trim(query), '[?.!]+$', '')) as bare from {ALL('CLAIMS')}),
 n as (select *, list_filter({terms(f'substr(bare, {len(fixed.CLAIM_PREFIX) + 1})')}, lambda t: t not in ({', '.join(f"'{w}'" for w in fixed.CLAIM_WORDS)})) as need, starts_with(lower(bare), '{fixed.CLAIM_PREFIX}') as asks from c)
 select id, not (asks and len(need) >= 3) or len(list_filter(need, lambda t: not list_contains({terms('quote')}, t))) = 0 as kept from n""",
-    "finding_order": f"select row_number() over (order by router_rank nulls last, score desc, path, line, quote) as ord, path as file, cast(line as bigint) as line from (select distinct path, line, quote, router_rank, score from {v.FINDINGS})",
+    "finding_order": f"""select query_id, row_number() over (partition by query_id order by router_rank nulls last, score desc, path, line, quote) as ord, path as file, cast(line as bigint) as line
+from (select distinct query_id, path, line, quote, router_rank, score from {ALL('FINDINGS')})""",
     "weak_signal": f"with {IDF_CTE} select (select count(*) from {v.FINDINGS}) > 0 and (select max(cast(score as double)) from {v.FINDINGS}) < coalesce((select max(score) from cand), 0) * 0.4 as weak",
     "query_state": f"""
-with r as (select *, case when reasons = '' then []::varchar[] else string_split(reasons, ';') end as rs from {v.RUNS_DONE}),
+with r as (select *, case when reasons = '' then []::varchar[] else string_split(reasons, ';') end as rs from {ALL('RUNS')}),
 c as (select *, len(list_filter(rs, lambda x: starts_with(x, 'provider_error'))) as p, len(list_filter(rs, lambda x: starts_with(x, 'budget_hit'))) as b from r),
 s as (select run_id, case when budget_hit then 'budget_hit' when chunks > 0 and findings = 0 and len(rs) > 0 and p = len(rs) then 'provider_error' when p + b > 0 then 'partial' when findings = 0 then 'unanswered' else 'ok' end as state from c)
 select run_id, state, cast(case state {' '.join(f"when '{k}' then {n}" for k, n in fixed.STATES.items())} else 1 end as bigint) as exit_code from s""",
@@ -182,26 +191,37 @@ with i as (select doc_id, least(200, count(*)) as n from {each_line('documents')
 s as (select {VPATH} as path, coalesce(n, 0) + doc_id % 17 as score from documents left join i using (doc_id))
 select row_number() over (order by score desc, path) as ord, path, score from s order by score desc, path limit 20""",
     "retention": f"""
-with g as (select name, coalesce(try_cast(regexp_extract(name, '^gen-(\\d+)$', 1) as bigint), 0) as stamp from {v.GENERATIONS})
-select name, name = 'gen-300' or row_number() over (order by name = 'gen-300', stamp desc, name desc) <= 2 as keep from g""",
+with g as (select *, coalesce(try_cast(regexp_extract(name, '^gen-(\\d+)$', 1) as bigint), 0) as stamp from {ALL('GENERATIONS')})
+select store, name, name = current or row_number() over (partition by store order by name = current, stamp desc, name desc) <= 2 as keep from g""",
     "eval_recall": f"""
-with c as (select distinct query_id, file, 1 as hit from {v.EVAL_FINDINGS}), g as (select distinct query_id, file from {v.GOLDENS})
+with c as (select distinct query_id, file, 1 as hit from {ALL('EVAL_FINDINGS')}), g as (select distinct query_id, file from {ALL('GOLDENS')})
 select query_id, cast(coalesce(sum(hit), 0) as bigint) as found, count(*) as total from g left join c using (query_id, file) group by query_id""",
     "eval_coverage": f"""
-with g as (select *, {terms('fact')} as want from {v.GOLDENS}), f as (select *, {terms('fact')} as has from {v.EVAL_FINDINGS})
+with g as (select *, {terms('fact')} as want from {ALL('GOLDENS')}), f as (select *, {terms('fact')} as has from {ALL('EVAL_FINDINGS')})
 select query_id, id, exists (select 1 from f where f.query_id = g.query_id and f.file = g.file and (abs(f.line - g.line) <= 5 or (len(want) > 0 and len(list_intersect(want, has)) / len(want) > 0.5))) as covered from g""",
     "eval_poison": rf"""
 with p as (select *, {terms('poison')} as want, {terms('query')} as asked,
-  list_distinct(list_transform(list_filter(regexp_extract_all(poison, '\b[A-Z][A-Za-z0-9_-]*\b'), lambda w: w not in ({', '.join(f"'{w}'" for w in fixed.GENERIC)})), lambda w: {stem('lower(w)')})) as need from {v.POISON}),
+  list_distinct(list_transform(list_filter(regexp_extract_all(poison, '\b[A-Z][A-Za-z0-9_-]*\b'), lambda w: w not in ({', '.join(f"'{w}'" for w in fixed.GENERIC)})), lambda w: {stem('lower(w)')})) as need from {ALL('POISON')}),
 o as (select *, list_filter(want, lambda t: not list_contains(asked, t) and not list_contains(need, t) and t not in ({', '.join(f"'{w}'" for w in fixed.POISON_WORDS)})) as own from p),
-f as (select query_id, fact, lower(fact) as low_fact, {terms('fact')} as has from {v.EVAL_FINDINGS}),
+f as (select query_id, fact, lower(fact) as low_fact, {terms('fact')} as has from {ALL('EVAL_FINDINGS')}),
 j as (select o.query_id, o.id, coalesce(len(want) > 0 and not (({COUNTER}) and not contains(lower(poison), 'not')) and len(list_filter(need, lambda t: not list_contains(has, t))) = 0
   and (not {RESTRICT.format('poison', 'want')} or {RESTRICT.format('fact', 'has')}) and (len(own) = 0 or len(list_intersect(own, has)) >= least(len(own), 2)) and len(list_intersect(want, has)) / len(want) > 0.6, false) as hit
   from o left join f on f.query_id = o.query_id)
 select query_id, id, bool_or(hit) as survives from j group by query_id, id""",
     "eval_gates": f"""
 with t as (select case when sum(recall_total) = 0 then 100.0 else sum(recall_found) / sum(recall_total) * 100.0 end as recall_pct, case when sum(facts) = 0 then 100.0 else sum(covered) / sum(facts) * 100.0 end as coverage_pct,
-  cast(sum(poison) as bigint) as poison, bool_and(not negative or findings = 0) as negatives_clean, round(sum(usd) / count(*), 6) as avg_usd, bool_and(complete) as complete from {v.RUN_TOTALS})
+  cast(sum(poison) as bigint) as poison, bool_and(not negative or findings = 0) as negatives_clean, round(sum(usd) / count(*), 6) as avg_usd, bool_and(complete) as complete from {ALL('TOTALS')})
 select round(recall_pct, 6) as recall_pct, round(coverage_pct, 6) as coverage_pct, poison, negatives_clean, avg_usd, complete,
   recall_pct >= 100 and coverage_pct >= 71.4 and poison = 0 and negatives_clean and avg_usd < 0.15 and complete as green from t""",
+    "indexed_candidates": f"with {IDF_CTE} select path, score from cand",
+    "postings_after_changes": f"select term, count(*) as df from (select doc_id, unnest({terms('text')}) as term from documents) group by term",
+    "staleness_sights": f"""
+with o as (select cast(doc_id as varchar) as path, sha256({THEN}) as hash from documents where doc_id % 10 <> 9 union all select 'gone ' || doc_id, sha256(text) from documents where doc_id % 50 = 8),
+n as (select cast(doc_id as varchar) as path, sha256(text) as hash from documents)
+select coalesce(n.path, o.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' when n.hash = o.hash then 'unchanged' else 'changed' end as change from n full join o on n.path = o.path""",
+    "redacted_text": rf"""
+with p as (select doc_id, regexp_replace(text, '/(?:Users|home)/[A-Za-z0-9._-]+/', '~/', 'g') as t from documents),
+h as (select doc_id, regexp_extract_all(t, '{EMAIL}') as hits, string_split_regex(t, '{EMAIL}') as parts from p),
+r as (select doc_id, list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce('[REDACTED_EMAIL_' || len(list_distinct(hits[1 : list_position(hits, hits[i])])) || ']', '')) as out from h)
+select doc_id, sha256(array_to_string(out, '')) as text_hash from r""",
 }

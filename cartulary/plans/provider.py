@@ -8,6 +8,7 @@ is not a model and never stands in for one.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import random
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import fixed
-from cartulary.functions.redact import redact_text
+from cartulary.functions.redact import redact
 from cartulary.functions.text import jsonish, strings, terms
+from cartulary.plans.ledger import Ledger
 
 RAW = "array<struct<fact:string,line:int,quote:string>>"
 #: Partitions that call a provider at once; each has its part of the rate.
@@ -114,31 +116,85 @@ class HttpProvider:
         raise ProviderError("no answer")
 
 
-def asked(factory: Callable[[], Provider], query: str, max_tokens: int):
-    """mapInPandas function: each chunk redacted, sent, and answered or failed."""
+class Desk:
+    """A task's way to its provider: the ledger first, then a call, which is written down.
+
+    The provider is made when it is first needed.  ``left_usd`` is this task's share of what may still be
+    spent; beyond it the provider asks nothing a second time.
+    """
+
+    def __init__(self, factory: Callable[[], Provider], ledger: Ledger | None, left_usd: float | None):
+        self.factory, self.ledger, self.left_usd, self.provider = factory, ledger, left_usd, None
+
+    def ask(self, system: str, user: str, max_tokens: int, *about: object) -> tuple[str | None, int, int, int, str | None]:
+        """(answer, tokens in, tokens out, retries, error); errors are not written down."""
+        key = Ledger.key(os.environ.get("CARTULARY_MODEL", ""), system, user, max_tokens, *about)
+        known = self.ledger.get(key) if self.ledger else None
+        if known is None:
+            try:
+                if self.provider is None:
+                    self.provider = self.factory()
+                    if self.left_usd is not None and hasattr(self.provider, "most_usd"):
+                        self.provider.most_usd = self.left_usd
+                got = self.provider.answer(system, user, max_tokens)
+            except ProviderError as e:
+                return None, 0, 0, 0, f"provider_error: {str(e).replace(chr(10), ' ')[:200]}"
+            known = got._asdict()
+            if self.ledger:
+                self.ledger.put(key, known)
+        return known["text"], known["in_tok"], known["out_tok"], known["retries"], None
+
+
+def asked(factory: Callable[[], Provider], query: str, max_tokens: int, ledger: Ledger | None = None, left_usd: float | None = None):
+    """mapInPandas function: each redacted chunk sent, and answered or failed."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        desk = Desk(factory, ledger, left_usd)
         for batch in batches:
             out = []
-            for path, first, body, look in zip(batch["path"], batch["first_line"], batch["body"], batch["look_for"]):
-                text, count = redact_text(body)
+            for path, first, text, count, look in zip(batch["path"], batch["first_line"], batch["text"], batch["count"], batch["look_for"]):
                 user = f"FILE: {path} (from line {first})\nLOOK FOR: {look or ''}\nREDACTIONS: {count}\n\n{text}\n\nQUERY: {query}"
-                try:
-                    provider = provider or factory()
-                    got = provider.answer(EXTRACTOR, user, max_tokens)
-                    out.append((path, first, got.text, got.in_tok, got.out_tok, got.retries, None))
-                except ProviderError as e:
-                    out.append((path, first, None, 0, 0, 0, f"provider_error: {str(e).replace(chr(10), ' ')[:200]}"))
+                out.append((path, first, *desk.ask(EXTRACTOR, user, max_tokens, path, int(first))))
             yield pd.DataFrame(out, columns=["path", "first_line", "raw", "in_tok", "out_tok", "retries", "error"])
 
     return run
 
 
-def ask(chunks: DataFrame, factory: Callable[[], Provider], query: str, parallel: int = PARALLEL, max_tokens: int = 2000) -> DataFrame:
+def ask(chunks: DataFrame, factory: Callable[[], Provider], query: str, parallel: int = PARALLEL, max_tokens: int = 2000, ledger: Ledger | None = None, left_usd: float | None = None) -> DataFrame:
     """(path, first_line, raw, in_tok, out_tok, retries, error) for each chunk."""
-    sent = chunks.select("path", "first_line", "body", "look_for").repartition(parallel, "path", "first_line")
-    return sent.mapInPandas(asked(factory, query, max_tokens), "path string, first_line int, raw string, in_tok long, out_tok long, retries long, error string")
+    sent = chunks.select("path", "first_line", redact(F.col("body")).alias("r"), "look_for").select("path", "first_line", "r.*", "look_for").repartition(parallel, "path", "first_line")
+    share = None if left_usd is None else left_usd / parallel
+    return sent.mapInPandas(asked(factory, query, max_tokens, ledger, share), "path string, first_line int, raw string, in_tok long, out_tok long, retries long, error string")
+
+
+def spent(answers: DataFrame) -> dict:
+    """Tokens, retries, calls and dollars of answers."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("in_tok", "out_tok", "retries")]
+    out = answers.agg(*sums, F.count(F.lit(1)).alias("calls")).first().asDict()
+    return out | {"usd": out["in_tok"] / 1e6 * fixed.USD_IN + out["out_tok"] / 1e6 * fixed.USD_OUT}
+
+
+def in_waves(rows: DataFrame, wave: Column, cost: Column, cap: float | None, send: Callable[[DataFrame, float | None], DataFrame], write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame, dict]:
+    """(answers, refused rows, what was spent): rows are sent wave by wave, each written
+    before the next, so that one cap holds for all tasks together.
+
+    Before a wave its estimated ``cost`` is added to what was really spent so far; a wave that
+    would pass the cap is refused and so is every later one.  More than a cap's worth can
+    thus be spent by what one wave costs beyond its estimate only.  ``rows`` should be a written table.
+    """
+    plan = rows.groupBy(wave.alias("wave")).agg(F.sum(cost).alias("usd")).orderBy("wave").collect() if cap is not None else None
+    if plan is None:
+        answers = write(send(rows, None))
+        return answers, rows.limit(0), spent(answers)
+    parts, total, gone = [], {"in_tok": 0, "out_tok": 0, "retries": 0, "calls": 0, "usd": 0.0}, []
+    for r in plan:
+        if gone or total["usd"] + r["usd"] > cap:
+            gone.append(r["wave"])
+            continue
+        parts.append(write(send(rows.where(wave == r["wave"]), cap - total["usd"])))
+        total = {k: v + total[k] for k, v in spent(parts[-1]).items()}
+    refused = rows.where(wave >= gone[0]) if gone else rows.limit(0)
+    return (functools.reduce(DataFrame.unionByName, parts) if parts else None), refused, total
 
 
 CARD_WRITER = (
@@ -154,33 +210,29 @@ ROUTED = "struct<files:array<struct<path:string,look_for:string,rank:int>>>"
 HINTS, TERMS = 8, 12
 
 
-def written(factory: Callable[[], Provider], max_tokens: int):
-    """mapInPandas function: each file's card as the provider writes it, or its error."""
+def written(factory: Callable[[], Provider], max_tokens: int, ledger: Ledger | None = None, left_usd: float | None = None):
+    """mapInPandas function: each file's card as the provider writes it from a redacted text, or its error."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        desk = Desk(factory, ledger, left_usd)
         for batch in batches:
             out = []
             for path, hash_, text in zip(batch["path"], batch["hash"], batch["text"]):
-                try:
-                    provider = provider or factory()
-                    got = provider.answer(CARD_WRITER, f"FILE: {path}\n\n{redact_text(text)[0]}", max_tokens)
-                    out.append((path, hash_, got.text, got.in_tok, got.out_tok, got.retries, None))
-                except ProviderError as e:
-                    out.append((path, hash_, None, 0, 0, 0, f"provider_error: {str(e).replace(chr(10), ' ')[:200]}"))
+                out.append((path, hash_, *desk.ask(CARD_WRITER, f"FILE: {path}\n\n{text}", max_tokens, path, hash_)))
             yield pd.DataFrame(out, columns=["path", "hash", "raw", "in_tok", "out_tok", "retries", "error"])
 
     return run
 
 
-def write_cards(files: DataFrame, factory: Callable[[], Provider], parallel: int = PARALLEL, max_tokens: int = 900) -> DataFrame:
+def write_cards(files: DataFrame, factory: Callable[[], Provider], parallel: int = PARALLEL, max_tokens: int = 900, ledger: Ledger | None = None, left_usd: float | None = None) -> DataFrame:
     """(path, hash, role, invariants, gotchas, terms, in_tok, out_tok, retries, error).
 
     One call for each file, on its redacted beginning.  What can't be parsed has
     null fields, so that the deterministic ones stay.
     """
-    begun = files.select("path", "hash", F.left("text", F.lit(fixed.CARD_CHARS)).alias("text")).repartition(parallel, "path")
-    got = begun.mapInPandas(written(factory, max_tokens), "path string, hash string, raw string, in_tok long, out_tok long, retries long, error string")
+    begun = files.select("path", "hash", redact(F.left("text", F.lit(fixed.CARD_CHARS)))["text"].alias("text")).repartition(parallel, "path")
+    share = None if left_usd is None else left_usd / parallel
+    got = begun.mapInPandas(written(factory, max_tokens, ledger, share), "path string, hash string, raw string, in_tok long, out_tok long, retries long, error string")
     card = F.from_json(jsonish(F.col("raw")), CARD)
     role = F.when(F.trim(card["role"]) != "", F.left(F.trim(card["role"]), F.lit(fixed.ROLE_CHARS)))
     return got.select("path", "hash", role.alias("role"), F.slice(card["invariants"], 1, HINTS).alias("invariants"), F.slice(card["gotchas"], 1, HINTS).alias("gotchas"), F.slice(card["terms"], 1, TERMS).alias("terms"), "in_tok", "out_tok", "retries", "error")

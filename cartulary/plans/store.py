@@ -7,17 +7,26 @@ generation while later ones appear.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 import socket
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEPT_GENERATIONS, KEPT_RUNS, LOCK_MS = 2, 20, 15 * 60 * 1000
+#: Layers of a generation, and bytes of those above the lowest against its own, from
+#: which they are made one.
+MOST_LAYERS, MOST_ABOVE = 8, 0.5
+
+
+#: Tables kept in folders by bucket; with no row there is no file to take a schema from.
+BUCKETED = {"postings": "path string, term string, bucket int", "counts": "term string, df long, bucket int"}
 
 
 class Store:
@@ -87,8 +96,13 @@ class Generations(Store):
             self.delete(away)
         self.write("build.lock", json.dumps({"pid": os.getpid(), "host": socket.gethostname(), "started_at_ms": now}), new=True)
 
-    def publish(self, tables: dict[str, DataFrame], manifest: dict) -> str:
-        """Writes a generation and lets the pointer name it."""
+    def publish(self, tables: dict[str, DataFrame], manifest: dict, onto: str | None = None, derived: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]] | None = None) -> str:
+        """Writes a generation and lets the pointer name it.
+
+        With ``onto`` it is a layer over that generation's: ``tables`` must then hold ``touched``,
+        the paths whose rows below no longer count.  ``derived`` makes further tables from
+        those just written; a column ``bucket`` names the folders of a table that has it.
+        """
         self.lock()
         try:
             name = f"gen-{time.time_ns() // 1_000_000}"
@@ -96,29 +110,52 @@ class Generations(Store):
                 name = f"gen-{int(name[4:]) + 1}"
             for table, df in tables.items():
                 df.write.parquet(f"{self.top}/{name}/{table}")
-            self.write(f"{name}/manifest.json", json.dumps(manifest))
+            for table, df in (derived(lambda t: self.spark.read.parquet(f"{self.top}/{name}/{t}")) if derived else {}).items():
+                (df.write.partitionBy("bucket") if "bucket" in df.columns else df.write).parquet(f"{self.top}/{name}/{table}")
+            self.write(f"{name}/manifest.json", json.dumps(manifest | {"layers": [*(self.layers(onto) if onto else []), name]}))
             self.write("current", name)
         finally:
             self.delete("build.lock")
         self.prune()
         return name
 
+    def layers(self, generation: str) -> list[str]:
+        """The folders that make a generation, the lowest first."""
+        return json.loads(self.read(f"{generation}/manifest.json")).get("layers") or [generation]
+
+    def bytes(self, name: str) -> int:
+        return self.fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
+
+    def crowded(self, generation: str) -> bool:
+        """Whether a generation's layers should be made one."""
+        lowest, *above = self.layers(generation)
+        return len(above) >= MOST_LAYERS or bool(above) and sum(map(self.bytes, above)) > MOST_ABOVE * self.bytes(lowest)
+
     def open(self) -> tuple[str, dict] | None:
         """(generation, manifest) that the pointer names now."""
         if not self.exists("current"):
             return None
         name = self.read("current").strip()
-        return name, json.loads(self.read(f"{name}/manifest.json"))
+        manifest = json.loads(self.read(f"{name}/manifest.json"))
+        return name, {k: v for k, v in manifest.items() if k != "layers"}
 
     def table(self, generation: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.top}/{generation}/{name}")
+        """A table of a generation: of each path the rows of the topmost layer that decides it."""
+        layers = self.layers(generation)
+        read = lambda layer: (self.spark.read.schema(BUCKETED[name]) if name in BUCKETED else self.spark.read).parquet(f"{self.top}/{layer}/{name}")
+        if len(layers) == 1:
+            return read(layers[0])
+        touched = [self.spark.read.parquet(f"{self.top}/{layer}/touched").select("path") for layer in layers[1:]]
+        return layered(list(map(read, layers)), touched)
 
     def prune(self) -> None:
-        """Keeps the current generation and the newest others."""
+        """Keeps the current generation and the newest others, and the layers that they lie on."""
         current = self.read("current").strip()
         old = sorted((n for n in self.names() if n.startswith("gen-") and n != current), key=stamp, reverse=True)
+        needed = {layer for name in (current, *old[:KEPT_GENERATIONS]) if self.exists(f"{name}/manifest.json") for layer in self.layers(name)}
         for name in old[KEPT_GENERATIONS:]:
-            self.delete(name)
+            if name not in needed:
+                self.delete(name)
 
     def keep_run(self, envelope: dict) -> str:
         """Writes a query's whole envelope; the newest runs stay."""
@@ -131,6 +168,17 @@ class Generations(Store):
         return name
 
 
+def layered(rows: list[DataFrame], touched: list[DataFrame]) -> DataFrame:
+    """Of each path the rows of the topmost layer that decides it.
+
+    ``touched`` (path) are the paths that each layer but the lowest decides, with rows or without.
+    """
+    numbered = lambda dfs, name, first: [df.withColumn(name, F.lit(i)) for i, df in enumerate(dfs, first)]
+    last = functools.reduce(DataFrame.unionByName, numbered(touched, "_last", 1)).groupBy("path").agg(F.max("_last").alias("_last"))
+    every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered(rows, "_layer", 0))
+    return every.join(last, "path", "left").where("_last is null or _layer >= _last").drop("_layer", "_last")
+
+
 def alive(pid: int) -> bool:
     """Whether this machine has a process of that number."""
     try:
@@ -147,8 +195,8 @@ def stamp(name: str) -> int:
     return int(found[1]) if found else 0
 
 
-def retention(generations: DataFrame, current: Column, keep: int = KEPT_GENERATIONS) -> DataFrame:
-    """``generations`` (name) with ``keep``: current, or among the newest others."""
+def retention(generations: DataFrame, current: Column, keep: int = KEPT_GENERATIONS, of: list[str] | None = None) -> DataFrame:
+    """``generations`` (name) with ``keep``: current, or among the newest others (of each store)."""
     at = F.coalesce(F.try_to_number(F.regexp_extract("name", r"^gen-(\d+)$", 1), F.lit("9999999999999999")).cast("long"), F.lit(0))
-    order = Window.orderBy((F.col("name") == current).asc(), at.desc(), F.desc("name"))  # a few names
+    order = Window.partitionBy(*(of or [])).orderBy((F.col("name") == current).asc(), at.desc(), F.desc("name"))  # a store's few names
     return generations.withColumn("keep", (F.col("name") == current) | (F.row_number().over(order) <= keep))

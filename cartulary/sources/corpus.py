@@ -1,23 +1,15 @@
 """Corpora as DataFrames: (path, text, adapter, hash) and the rows that are left out.
 
-Tables, a directory of files and JSON suites come in by Spark's readers.  All
+Tables and JSON suites come in by Spark's readers, directories by ``tree``.  All
 reasons to leave a file out are one ordered chain, so each row has one verdict.
 """
 
 from __future__ import annotations
 
 import collections
-import fnmatch
-import os
-import re
 import shutil
 import subprocess
-import tempfile
-from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
-import pandas as pd
-from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,251 +77,6 @@ def rejected(walked: DataFrame) -> DataFrame:
     return walked.where("skip_reason is not null").select("path", F.col("skip_reason").alias("reason"), "adapter").dropDuplicates(["path", "reason"])
 
 
-def files_meta(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime_ms) of a directory's files; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
-
-
-def relative(path: Column, root: str) -> Column:
-    bare = root.split("://")[-1].removeprefix("file:").rstrip("/")
-    return F.regexp_replace(path, rf"^[a-z]+:/*\Q{bare}\E/|^\Q{bare}\E/", "")
-
-
-def ignored(root_rules: Iterable[str]) -> Column:
-    """Rules handed in by a caller as one predicate: patterns by fnmatch; the last rule
-    that matches decides, and ``!`` takes back, below an ignored directory too."""
-    out, path = F.lit(False), F.col("path")
-    for line in root_rules:
-        rule = line.strip()
-        if not rule or rule.startswith("#"):
-            continue
-        keep, rule = rule.startswith("!"), rule.lstrip("!")
-        anchored, rule = "/" in rule.rstrip("/"), rule.strip("/")
-        body = fnmatch.translate(rule).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*")
-        hit = path.rlike(("^" if anchored else "(^|/)") + f"(?:{body})(/|$)")
-        out = F.when(hit, F.lit(not keep)).otherwise(out)
-    return out
-
-
-class Rule(NamedTuple):
-    """A line of an ignore file: what it matches, and if it takes back."""
-
-    lead: str  # where the corpus lies below the file's directory, for files above it
-    pattern: str
-    keep: bool
-    dirs_only: bool
-
-
-def glob(rule: str) -> str:
-    """An ignore file's pattern as a regular expression over a whole relative path."""
-    out, i = "", 0
-    while i < len(rule):
-        rest = rule[i:]
-        if rest.startswith("**/") and (i == 0 or rule[i - 1] == "/"):
-            out, i = out + "(?:.*/)?", i + 3
-        elif rest == "**" and (i == 0 or rule[i - 1] == "/"):
-            out, i = out + ".+", i + 2
-        elif rest[0] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif rest[0] == "?":
-            out, i = out + "[^/]", i + 1
-        elif rest[0] == "[" and "]" in rest[2:]:
-            end = rest.index("]", 2)
-            inner = rest[1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out, i = out + "[" + ("^/" + inner[1:] if inner[0] in "!^" else inner) + "]", i + end + 1
-        elif rest[0] == "\\" and len(rest) > 1:
-            out, i = out + re.escape(rest[1]), i + 2
-        else:
-            out, i = out + re.escape(rest[0]), i + 1
-    return out
-
-
-def rules_of(text: str, base: str = "", lead: str = "") -> list[Rule]:
-    """The rules of an ignore file in directory ``base``, in their order."""
-    out = []
-    for line in text.splitlines():
-        rule = re.sub(r"(?<!\\) +$", "", line)
-        if not rule or rule.startswith("#"):
-            continue
-        keep, rule = rule.startswith("!"), rule.removeprefix("!")
-        dirs_only, rule = rule.endswith("/"), rule.rstrip("/")
-        anywhere, rule = "/" not in rule, rule.removeprefix("/")
-        if rule:
-            below = re.escape(base) + ("(?:.*/)?" if anywhere else "")
-            out.append(Rule(lead, f"(?s)^{below}{glob(rule)}$", keep, dirs_only))
-    return out
-
-
-def left_out(rules: list[Rule]) -> Column:
-    """Whether ``rules``, those that win first, leave out ``path`` or a directory above
-    it: nothing comes back from a directory that is left out."""
-    if not rules:
-        return F.lit(False)
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, 1, i), "/").alias("p"), (i < F.size(steps)).alias("dir")))
-
-    def out(at: Column) -> Column:
-        hits = []
-        for r in rules:
-            hit = (F.concat(F.lit(r.lead), at["p"]) if r.lead else at["p"]).rlike(r.pattern)
-            hits.append(F.when(hit & at["dir"] if r.dirs_only else hit, F.lit(not r.keep)))
-        return F.coalesce(*hits, F.lit(False))
-
-    return F.exists(above, out)
-
-
-class Tree(NamedTuple):
-    """What the driver's listing tells: the root's whole name, rows of hidden files and
-    directories that the readers skip, and the rules of the ignore files, those that
-    win first."""
-
-    top: str
-    rows: list[tuple]
-    rules: list[Rule]
-
-
-def listing(spark: SparkSession, root: str) -> Tree:
-    """Lists names without entering pruned directories, and reads ignore files.
-
-    A sensitive directory is one row and is not entered either; a tool directory at
-    the top is one row.  Of rules the tool's own files' win, then .ignore, and in a
-    version-controlled tree .gitignore, its exclude file and the user's; of one
-    kind the deepest file's, and of one file the last.  Files above the root count
-    too, up to the version-controlled tree's top for .gitignore.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda *parts: jvm.org.apache.hadoop.fs.Path(*parts)
-    top = path(root)
-    fs, never = top.getFileSystem(conf), {*fixed.BUILD_DIRS, *fixed.TOOL_DIRS, fixed.INDEX_DIR}
-    top = fs.makeQualified(top)
-
-    def read(at) -> str:
-        stream = fs.open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode("utf-8", "replace")
-        finally:
-            stream.close()
-
-    found = []  # (kind, depth, rules)
-    rows, todo, tracked, depth = [], [(top, "", False, 0)], fs.exists(path(top, ".git")), 0
-    above, lead, git_at = top, "", (top, "") if tracked else None
-    while above.getParent() is not None:
-        lead, above, depth = f"{above.getName()}/{lead}", above.getParent(), depth - 1
-        for kind, name in enumerate(fixed.IGNORE_FILES):
-            at = path(above, name)
-            if (name != ".gitignore" or git_at is None) and fs.exists(at):
-                found.append((kind, depth, rules_of(read(at), lead=lead)))
-        if git_at is None and fs.exists(path(above, ".git")):
-            git_at = (above, lead)
-    while todo:
-        at, prefix, dark, depth = todo.pop()
-        for status in fs.listStatus(at):
-            name = status.getPath().getName()
-            inside = dark or name[0] in "._"
-            if status.isDirectory() and (name in fixed.SECRET_DIRS or name in fixed.TOOL_DIRS and not prefix):
-                rows.append((prefix + name, None, status.getModificationTime()))
-            elif status.isDirectory():
-                if name not in never:
-                    todo.append((status.getPath(), f"{prefix}{name}/", inside, depth + 1))
-            elif inside:
-                rows.append((prefix + name, status.getLen(), status.getModificationTime()))
-                if name in fixed.IGNORE_FILES:
-                    found.append((fixed.IGNORE_FILES.index(name), depth, rules_of(read(status.getPath()), prefix)))
-    if git_at:
-        exclude, own = path(git_at[0], ".git/info/exclude"), os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
-        if fs.exists(exclude):
-            found.append((len(fixed.IGNORE_FILES), 0, rules_of(read(exclude), lead=git_at[1])))
-        if os.path.exists(own):
-            with open(own, errors="replace") as f:
-                found.append((len(fixed.IGNORE_FILES) + 1, 0, rules_of(f.read(), lead=git_at[1])))
-    else:
-        found = [x for x in found if fixed.IGNORE_FILES[x[0]] != ".gitignore"]
-    return Tree(top.toString(), rows, [r for _, _, rules in sorted(found, key=lambda x: (x[0], -x[1])) for r in reversed(rules)])
-
-
-def converters(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text of pdf and docx files by outside tools; no tool, no text."""
-    tools = {"pdf": ("pdftotext", lambda p: ["pdftotext", "-layout", p, "-"]), "docx": ("pandoc", lambda p: ["pandoc", "-f", "docx", "-t", "markdown", p])}
-    for batch in batches:
-        texts = []
-        for kind, raw in zip(batch["adapter"], batch["content"]):
-            name, command = tools[kind]
-            text = ""
-            if shutil.which(name):
-                with tempfile.NamedTemporaryFile(suffix=f".{kind}") as f:
-                    f.write(raw)
-                    f.flush()
-                    done = subprocess.run(command(f.name), capture_output=True, timeout=120)
-                text = done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
-            texts.append(text)
-        yield batch.assign(text=texts)[["path", "adapter", "size", "mtime_ms", "text", "skip_reason"]]
-
-
-def opened(top: str):
-    """mapInPandas function: the content of files below ``top`` by their paths."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where = None
-        for batch in batches:
-            held = []
-            for path in batch["path"]:
-                if top.startswith("file:"):
-                    with open(f"{top.removeprefix('file:')}/{path}", "rb") as f:
-                        held.append(f.read())
-                    continue
-                where = where or pa_fs.FileSystem.from_uri(top)
-                with where[0].open_input_file(f"{where[1]}/{path}") as f:
-                    held.append(f.read())
-            yield batch.assign(content=held)
-
-    return run
-
-
-def hidden(spark: SparkSession, tree: Tree, out: Column) -> DataFrame:
-    """(path, size, mtime_ms, content) of files that Spark's readers skip, their
-    names beginning with a dot or an underscore, or a directory's above them.
-
-    The driver knows names only; tasks open the files, and of these only what
-    nothing in their path, size or the ignore rules (``out``) leaves out.
-    """
-    listed = spark.createDataFrame(tree.rows, "path string, size long, mtime_ms long")
-    barred = verdict(F.col("path"), paths.adapter(F.col("path")), F.col("size"), F.lit(""))
-    open_ = listed.where(F.col("size").isNotNull() & barred.isNull() & ~out).select("path")
-    held = open_.mapInPandas(opened(tree.top), "path string, content binary")
-    return listed.join(held, "path", "left")
-
-
-def in_secret_dir(path: Column) -> Column:
-    """Below a sensitive directory, which is a row of its own."""
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in fixed.SECRET_DIRS]))
-
-
-def directory(spark: SparkSession, root: str, ignore: Iterable[str] = (), markdown_only: bool = False, most: int = fixed.MAX_FILE_BYTES) -> DataFrame:
-    """A directory's files with text, adapter, size, mtime_ms and ``skip_reason``.
-
-    The tree's ignore files hold, and the rules ``ignore`` beside them.  They don't
-    hide sensitive files: these are always reported.
-    """
-    tree = listing(spark, root)
-    out = ignored(ignore) | left_out(tree.rules)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = found.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    rows = rows.where(~in_secret_dir(F.col("path"))).unionByName(hidden(spark, tree, out))
-    tools = rows.where(F.col("path").isin(*fixed.TOOL_DIRS) & F.col("size").isNull())
-    rows = rows.where(~paths.pruned(F.col("path"))).where(paths.sensitive(F.col("path")) | ~out)
-    rows = rows.withColumn("adapter", paths.adapter(F.col("path")))
-    as_text = F.col("content").cast("string")
-    rows = rows.withColumn("skip_reason", verdict(F.col("path"), F.col("adapter"), F.col("size"), as_text, markdown_only, most))
-    other = F.col("adapter").isin("pdf", "docx") & F.col("skip_reason").isNull()
-    plain = rows.where(~other).withColumn("text", F.when(F.col("skip_reason").isNull(), as_text)).drop("content")
-    schema = "path string, adapter string, size long, mtime_ms long, text string, skip_reason string"
-    converted = rows.where(other).mapInPandas(converters, schema)
-    tools = tools.select("path", "size", "mtime_ms", F.lit("harness_meta").alias("skip_reason"))
-    out = plain.unionByName(converted.withColumn("skip_reason", F.when(F.trim("text") == "", "unsupported_or_tool_missing")))
-    return out.unionByName(tools, allowMissingColumns=True)
-
-
 def churn(changes: DataFrame, key: str, at: str, days: int = fixed.CHURN_DAYS) -> DataFrame:
     """(key, churn): changes in the last ``days`` before the latest one."""
     last = changes.agg(F.max(at).alias("last"))

@@ -9,6 +9,8 @@ from cartulary.plans import provider
 from cartulary.plans.engine import Engine, compact, packed
 from cartulary.plans.store import Busy, Generations
 from cartulary.sources import corpus
+from cartulary.sources.rules import rules_of
+from cartulary.sources.tree import Directory
 from cartulary.streaming.incremental import follow
 
 TEXTS = {
@@ -32,7 +34,7 @@ def tree(tmp_path):
 
 @pytest.fixture
 def engine(spark, tree, tmp_path):
-    return Engine(spark, lambda: corpus.directory(spark, str(tree)), str(tmp_path / "store"))
+    return Engine(spark, Directory(spark, str(tree)), str(tmp_path / "store"))
 
 
 def test_index_query_refresh(engine, tree):
@@ -174,7 +176,7 @@ def test_stream_makes_generations(spark, tmp_path):
 
 
 def test_ignore_rules_and_command_line(spark, tree, capsys):
-    rows = corpus.directory(spark, str(tree), ignore=["*.rs", "docs/", "!docs/auth.md", ".env"]).collect()
+    rows = Directory(spark, str(tree), ignore=["*.rs", "docs/", "!docs/auth.md", ".env"])().collect()
     assert sorted(r["path"] for r in rows) == [".env", "docs/auth.md", "img/a.png"]
     assert hint("indx") == "index" and hint("index") is None and hint("a question") is None and hint("evl") == "eval"
     assert budget("8k") == 8000 and budget("12") == 12
@@ -188,7 +190,7 @@ def test_tool_and_secret_directories_are_one_row_each_and_denied_files_are_not_o
         (tmp_path / name).write_text(text)
     for denied in (".env", ".aws/c1", ".aws/c2", "sub/.ssh/id"):
         (tmp_path / denied).chmod(0)
-    rows = {r["path"]: (r["skip_reason"], r["text"]) for r in corpus.directory(spark, str(tmp_path)).collect()}
+    rows = {r["path"]: (r["skip_reason"], r["text"]) for r in Directory(spark, str(tmp_path))().collect()}
     assert rows == {"a.md": (None, "# A"), ".hidden.md": (None, "kept"), ".claude": ("harness_meta", None), ".aws": ("sensitive", None), "sub/.ssh": ("sensitive", None), ".env": ("sensitive", None)}
     table = spark.createDataFrame([("a.md", "t", "markdown"), (".claude/x", "t", "code"), (".claude/y", "t", "code"), ("b.md", "\0", "markdown")], "path string, text string, adapter string")
     left = {(r["path"], r["reason"]) for r in corpus.rejected(corpus.walk(table)).collect()}
@@ -225,7 +227,7 @@ def test_ignore_files_of_the_tree(spark, tmp_path):
         "deep/x.md": "", "deep/1/2/x.md": "", "deep/1/y.md": "y", "q1.md": "", "a1.md": "", "c1.md": "c", "#odd.md": "", "docs/b.md": "", "b.md": "b",
         "sub/c.md": "", "c.md": "c", "above.md": "", "anchored.md": "", "docs/anchored.md": "d", "excluded.md": "e", ".hidden/no.md": "", ".hidden/yes.md": "y", "docs/.env": "S=1",
     })
-    rows = {r["path"]: r for r in corpus.directory(spark, str(root)).collect()}
+    rows = {r["path"]: r for r in Directory(spark, str(root))().collect()}
     config = {".gitignore", "docs/.gitignore", ".ignore", "sub/.cartularyignore", ".hidden/.ignore"}
     assert set(rows) - config == {
         "keep.log", "docs/loud.log", "docs/only_top.md", "docs/build_out", "deep/1/y.md", "c1.md", "b.md", "c.md", "docs/anchored.md", "excluded.md", ".hidden/yes.md", "docs/.env",
@@ -235,8 +237,8 @@ def test_ignore_files_of_the_tree(spark, tmp_path):
 
 def test_gitignore_needs_a_version_controlled_tree(spark, tmp_path):
     put(tmp_path, {".gitignore": "a.md\n", ".ignore": "b.md\n", "a.md": "a", "b.md": "b"})
-    assert {r["path"] for r in corpus.directory(spark, str(tmp_path)).collect()} == {".gitignore", ".ignore", "a.md"}
-    assert [r.keep for r in corpus.rules_of("!a\n\n# no\n   \nb/ \n")] == [True, False]
+    assert {r["path"] for r in Directory(spark, str(tmp_path))().collect()} == {".gitignore", ".ignore", "a.md"}
+    assert [r.keep for r in rules_of("!a\n\n# no\n   \nb/ \n")] == [True, False]
 
 
 def test_streamed_and_built_indexes_go_on_from_each_other(spark, tmp_path):
