@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from cartulary.llm.common import pick
+
 #: Bytes of a window; filter widths; filters of each; dimensions of a byte.
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 16, 8
 #: Bounds of the training sample: documents of a language, excerpts of each.
@@ -196,13 +198,14 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """
     found = predictor(learn(docs, id_col, text_col, lang_col, **bounds), unlearnt)(F.col(text_col))
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    got = docs.withColumn(f"{names[0]}_{names[1]}_", found)
-    return got.select(*keep, F.col(f"{names[0]}_{names[1]}_.lang_pred").alias(names[0]), F.col(f"{names[0]}_{names[1]}_.score").alias(names[1]))
+    both = pick(docs.columns, "_found")
+    got = docs.withColumn(both, found)
+    return got.select(*keep, F.col(f"{both}.lang_pred").alias(names[0]), F.col(f"{both}.score").alias(names[1]))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that have no language: null texts and those
     without a letter, whatever the label, prediction or score, and also if there
     is no labelled row to learn from."""
-    names = ("lang_pred_of_row", "score_of_row")
+    names = (pick(docs.columns, "_lang_pred"), pick(docs.columns, "_score"))
     return identify(spark, docs, names=names, unlearnt="", **options).where(F.col(names[0]) != NONE).select(*docs.columns)
