@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import is_known_harmless, looks_random, trimmed
+from cartulary.functions.text import is_known_harmless, let, looks_random, trimmed
 
 # Fixed values. Patterns of the public contract; groups are what stays, the value, what stays.
 HOME = r"/(?:Users|home)/[A-Za-z0-9._-]+/"
@@ -45,19 +45,14 @@ PASS = "struct<regex:string,kind:string,spared:int,signs:array<string>>"
 
 def passes() -> Column:
     """The passes in their order, each with three groups: what stays, the value, what stays;
-    a text that holds none of the ``signs``, lower-cased, can't match."""
+    a text that holds none of the ``signs``, lower-cased, can't match before a pass has put in a placeholder."""
     alone = lambda p: f"()({p})()"
     rows = [(BEARER + "()", "SECRET", NOTHING, ["bearer"])]
     rows += [(p if i == 0 else p + "()", "SECRET", HARMLESS, list(WORDS)) for i, p in enumerate(PAIRS)]
-    rows += [(alone(TOKENS[0]), "SECRET", HARMLESS, ["eyj"]), (alone(TOKENS[1]), "SECRET", HARMLESS, []), (alone(RUN), "SECRET", ORDERLY, []), (alone(EMAIL), "EMAIL", NOTHING, ["@"])]
+    rows += [(alone(TOKENS[0]), "SECRET", HARMLESS, ["eyj"]), (alone(TOKENS[1]), "SECRET", HARMLESS, ["sk-", "akia", "ghp_", "github_pat_", "gho_", "ghu_", "glpat-", "npm_", "pypi-", "xox"]), (alone(RUN), "SECRET", ORDERLY, []), (alone(EMAIL), "EMAIL", NOTHING, ["@"])]
     return F.from_json(F.lit(json.dumps([{"regex": FLAGS + p, "kind": k, "spared": x, "signs": s} for p, k, x, s in rows])), f"array<{PASS}>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def named(acc: Column, hit: Column, one: Column) -> Column:
     """``acc`` (out, names, count) after a match: spared, or replaced by its literal's placeholder."""
     value = trimmed(hit["value"])
@@ -70,10 +65,9 @@ def named(acc: Column, hit: Column, one: Column) -> Column:
 
 
 def after(state: Column, one: Column) -> Column:
-    """``state`` (text, names, count) after a pass."""
+    """``state`` (text, low, names, count) after a pass; ``low`` is the text as it was."""
     part = lambda i: F.regexp_extract_all(state["text"], one["regex"], F.lit(i))
-    low = F.lower(F.translate(state["text"], "ſ", "s"))  # an s to the patterns
-    near = (F.size(one["signs"]) == 0) | F.exists(one["signs"], lambda sign: F.contains(low, sign))
+    near = (state["count"] > 0) | (F.size(one["signs"]) == 0) | F.exists(one["signs"], lambda sign: F.contains(state["low"], sign))
 
     def fold(whole: Column) -> Column:
         hits = F.arrays_zip(whole.alias("whole"), part(1).alias("before"), part(2).alias("value"), part(3).alias("after"))
@@ -82,7 +76,7 @@ def after(state: Column, one: Column) -> Column:
         def done(acc: Column) -> Column:
             between = F.split(state["text"], one["regex"], F.lit(-1))
             text = F.array_join(F.zip_with(between, F.concat(acc["out"], F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-            return F.struct(text.alias("text"), acc["names"].alias("names"), acc["count"].alias("count"))
+            return F.struct(text.alias("text"), state["low"].alias("low"), acc["names"].alias("names"), acc["count"].alias("count"))
 
         return F.aggregate(hits, begun, lambda acc, hit: named(acc, hit, one), done)
 
@@ -97,6 +91,12 @@ def redact(text: Column) -> Column:
     A home directory's name goes uncounted; then bearer tokens, values of telling keys,
     tokens of known shapes, long random runs and e-mail addresses.
     """
-    begun = F.struct(F.regexp_replace(text, HOME, "~/").alias("text"), F.create_map().cast("map<string,string>").alias("names"), F.lit(0).cast("long").alias("count"))
-    folded = F.aggregate(F.when(text.isNotNull(), passes()), begun, after, lambda s: F.struct(s["text"].alias("text"), s["count"].alias("count")))
-    return F.coalesce(folded, F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("count")))
+    return let(text, folded)
+
+
+def folded(text: Column) -> Column:
+    home = F.when(text.contains("/home/") | text.contains("/Users/"), F.regexp_replace(text, HOME, "~/")).otherwise(text)
+    low = F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))  # an s to the patterns
+    begun = F.struct(home.alias("text"), low.alias("low"), F.create_map().cast("map<string,string>").alias("names"), F.lit(0).cast("long").alias("count"))
+    done = F.aggregate(F.when(text.isNotNull(), passes()), begun, after, lambda s: F.struct(s["text"].alias("text"), s["count"].alias("count")))
+    return F.coalesce(done, F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("count")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -66,9 +73,13 @@ def running_sums(steps: Column) -> Column:
     """
     grown = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
     piece = lambda xs: F.slice(F.aggregate(xs, F.array(F.lit(0)), grown), 2, F.greatest(F.size(xs), F.lit(1)))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / PIECE).cast("int"), F.lit(0))), lambda i: piece(F.slice(steps, i * PIECE + 1, F.lit(PIECE))))
-    begun = F.aggregate(pieces, F.array(F.lit(0)), lambda a, xs: grown(a, F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(0))))
-    return F.flatten(F.zip_with(pieces, F.slice(begun, 1, F.size(pieces)), lambda xs, b: F.transform(xs, lambda x: x + b)))
+
+    def joined(pieces: Column) -> Column:
+        begun = F.aggregate(pieces, F.array(F.lit(0)), lambda a, xs: grown(a, F.coalesce(F.try_element_at(xs, F.lit(-1)), F.lit(0))))
+        return F.flatten(F.zip_with(pieces, F.slice(begun, 1, F.size(pieces)), lambda xs, b: F.transform(xs, lambda x: x + b)))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / PIECE).cast("int"), F.lit(0))), lambda i: piece(F.slice(xs, i * PIECE + 1, F.lit(PIECE))))
+    return let(steps, lambda xs: let(cut(xs), joined))
 
 
 def numbered(rows: Column, first: Column) -> Column:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions import fixed
-from cartulary.functions.text import lines, running_sums, squeeze, strings, terms, without_emphasis
+from cartulary.functions.text import let, lines, running_sums, squeeze, strings, terms, without_emphasis
 
 
 def flattened(text: Column, strip=lambda c: c) -> Column:
     """(flat, ends): a text's squeezed lines joined by single spaces, and where each ends,
     the space behind it counted; once a file, for all quotes."""
-    rows = F.transform(lines(text), lambda s: squeeze(strip(s)))
-    return F.struct(F.array_join(rows, " ").alias("flat"), running_sums(F.transform(rows, lambda r: F.length(r) + 1)).alias("ends"))
+    form = lambda rows: F.struct(F.array_join(rows, " ").alias("flat"), running_sums(F.transform(rows, lambda r: F.length(r) + 1)).alias("ends"))
+    return let(F.transform(lines(text), lambda s: squeeze(strip(s))), form)
 
 
 def line_of(flat: Column, quote: Column, strip=lambda c: c) -> Column:
@@ -51,12 +51,15 @@ def verify(findings: DataFrame, files: DataFrame) -> DataFrame:
     in no more, lest all texts be dealt out for them.
     """
     text, quote, line, plain, bare = (F.col(c) for c in ("text", "quote", "line", "_plain", "_bare"))
-    ready = files.where(text.isNotNull()).select("path", flattened(text).alias("_flat"), F.when(F.col("adapter") == "markdown", flattened(text, without_emphasis)).alias("_free"))
+    prose, marked = F.col("adapter") == "markdown", text.rlike("[*_`~]")
+    # without marks of emphasis both forms are one
+    ready = files.where(text.isNotNull()).select("path", flattened(text).alias("_flat"), F.when(prose & marked, flattened(text, without_emphasis)).alias("_free"), (prose & ~marked).alias("_same"))
     joined = findings.join(ready, "path", "left")
     said = F.col("_flat").isNotNull() & ~blank(quote)
     first = joined.withColumn("_plain", F.when(said, line_of(F.col("_flat"), quote)))
-    again = F.col("_free").isNotNull() & ~near(plain, line) & said
-    second = first.withColumn("_bare", F.when(again, line_of(F.col("_free"), quote, without_emphasis)))
+    free = F.when(F.col("_same"), F.col("_flat")).otherwise(F.col("_free"))
+    again = (F.col("_same") | F.col("_free").isNotNull()) & ~near(plain, line) & said
+    second = first.withColumn("_bare", F.when(again, line_of(free, quote, without_emphasis)))
     missed = lambda at: F.concat(F.lit("line_mismatch:"), at.cast("string"))
     verdict = (
         F.when(F.col("_flat").isNull(), "file_missing")
@@ -67,7 +70,7 @@ def verify(findings: DataFrame, files: DataFrame) -> DataFrame:
         .when(plain.isNotNull(), missed(plain))
         .otherwise("quote_not_in_file")
     )
-    return second.withColumn("verdict", verdict).drop("_flat", "_free", "_plain", "_bare")
+    return second.withColumn("verdict", verdict).drop("_flat", "_free", "_same", "_plain", "_bare")
 
 
 def passed(verified: DataFrame) -> DataFrame:
