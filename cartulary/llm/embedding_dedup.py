@@ -21,42 +21,72 @@ BITS = 64
 KEYS = (16, 32)
 #: Odds that the tables miss a pair just at the least cosine, were bits independent.
 MISS = 0.055
+#: Codes beyond which the mean is no origin, and vectors of the sample whose pairs are
+#: looked at to choose one.
+MOST, MEASURED = 64, 1_024
 #: Deviations by which codes of linked vectors may differ more than on average.
 SPREAD = 4
 
 
-def tables_for(n: int, least: float) -> tuple[int, int]:
-    """(bits of a key, codes) for ``n`` vectors linked at cosine ``least``.
+def opening(units: np.ndarray, origin: np.ndarray, least: float) -> np.ndarray:
+    """For each of the unit vectors the part of half a turn by which ``origin`` sees it
+    apart from one at cosine ``least`` that lies as far along ``origin``."""
+    along, square = units @ origin, origin @ origin
+    inner, norm = least - 2 * along + square, 1 - 2 * along + square
+    return np.arccos(np.clip(inner / np.maximum(norm, 1e-12), -1.0, 1.0)) / np.pi
+
+
+def tables_for(n: int, apart: np.ndarray, most: float = math.inf) -> tuple[int, int]:
+    """(bits of a key, codes) for ``n`` vectors whose linked ones are ``apart``.
 
     A key has as many bits as the number of vectors has, so that a bucket's size
     stays the same however many there are; longer keys are missed more often and
-    take more tables, of which a code has BITS // bits.
+    take more tables, of which a code has BITS // bits.  No codes if ``most`` are too few.
     """
     bits = min(KEYS[1], max(KEYS[0], math.ceil(math.log2(max(n, 2)))))
-    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
-    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    tables = math.ceil(math.log(MISS) / math.log(1 - hit)) if hit < 1 else 1
-    return bits, -(-tables // (BITS // bits))
+    miss = 1 - (1 - apart) ** bits - bits * apart * (1 - apart) ** (bits - 1)
+    codes, each = 1, BITS // bits
+    while np.mean(miss ** (codes * each)) > MISS:
+        codes += 1
+        if codes > most:
+            return bits, 0
+    return bits, codes
 
 
-def near_bits(least: float) -> int:
+def near_bits(apart: np.ndarray) -> int:
     """Most bits of one code in which linked vectors differ."""
-    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    p = float(np.quantile(apart, 0.99))
     return min(BITS, math.floor(p * BITS + SPREAD * math.sqrt(p * (1 - p) * BITS)))
 
 
-def fit(sample: np.ndarray, codes: int = 2, alternations: int = ALTERNATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def met(units: np.ndarray, bits: np.ndarray, key: int, codes: int, near: int, least: float) -> float:
+    """Which part of the pairs of ``units`` that do not link would be reranked: seen
+    with one code, taken to be alike with the others."""
+    some = bits[:MEASURED].astype(np.float32)
+    strange = np.triu(units[:MEASURED] @ units[:MEASURED].T < least, 1)
+    missed, total = np.ones(strange.shape, bool), np.zeros(strange.shape, np.float32)
+    for at in range(BITS):
+        total += some[:, at, None] != some[None, :, at]
+    for at in range(BITS // key):
+        part = some[:, at * key : (at + 1) * key]
+        missed &= part @ (1 - part).T + (1 - part) @ part.T > 1
+    count = max(1, int(strange.sum()))
+    once, inside = float((~missed & strange).sum()) / count, float(((total <= near) & strange).sum()) / count
+    return min(1 - (1 - once) ** codes, inside)
+
+
+def fit(sample: np.ndarray, codes: int = 2, alternations: int = ALTERNATIONS, seed: int = 42, origin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(origin, projections): for each code a d x 64 matrix, learnt by ITQ.
 
-    Links go by the angle at zero, so the origin is zero: about the mean, a common
-    part of all vectors would open the angle.  The sample is projected on its
-    principal directions there; from a
-    random rotation on, codes as signs and the rotation nearest to them (by an
-    SVD) take turns, so that bits are balanced and lose little.  Fewer than 64
-    dimensions are first spread over 64 by random directions.
+    ``origin`` is zero unless given.  The sample is projected on its principal
+    directions there; from a random rotation on, codes as signs and the rotation
+    nearest to them (by an SVD) take turns, so that bits are balanced and lose
+    little.  Fewer than 64 dimensions are first spread over 64 by random directions.
     """
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
+    origin = np.zeros(d) if origin is None else origin
+    sample = sample - origin
     basis = np.linalg.svd(sample.T @ sample / len(sample) + 1e-12 * np.eye(d))[0][:, :BITS]
     if basis.shape[1] < BITS:
         basis = basis @ rng.standard_normal((basis.shape[1], BITS))
@@ -67,7 +97,29 @@ def fit(sample: np.ndarray, codes: int = 2, alternations: int = ALTERNATIONS, se
             left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (left @ right).T
         out.append(basis @ r)
-    return np.zeros(d), np.stack(out)
+    return origin, np.stack(out)
+
+
+def index_for(units: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(origin, projections, bits of a key, near) for ``n`` vectors like the sample ``units``.
+
+    Links go by the angle at zero, but a common part of all vectors makes codes seen
+    from there alike; seen from the mean, codes are balanced, and the angle of
+    linked vectors is wider and takes more tables.  Of the two the one is taken that
+    costs a vector less: its rows in the tables, and the strangers of ``n`` that it
+    would be reranked with.
+    """
+    choices = []
+    for origin, most in ((np.zeros(units.shape[1]), math.inf), (units.mean(axis=0), MOST)):
+        apart = opening(units, origin, least)
+        bits, codes = tables_for(n, apart, most)
+        if not codes:
+            continue
+        seen = (units - origin) @ fit(units, 1, origin=origin)[1][0] >= 0
+        rows = codes * (BITS // bits) * (1 + bits / 2)
+        choices.append((rows + met(units, seen, bits, codes, near_bits(apart), least) * n / 2, origin, codes, bits, near_bits(apart)))
+    _, origin, codes, bits, near = min(choices, key=lambda c: c[0])
+    return *fit(units, codes, origin=origin), bits, near
 
 
 def coder(origin: np.ndarray, projections: np.ndarray):
@@ -119,8 +171,8 @@ def candidates(classes: DataFrame, bits: int, codes: int, near: int) -> DataFram
 def linked_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """(id, ``n_links``, ``component_id``) for each row of ``vectors``.
 
-    Two vectors link at cosine ``least`` or more.  Rotations are fitted on at most
-    ``sample`` vectors, those with the least hashes; every vector is indexed.
+    Two vectors link at cosine ``least`` or more.  Origin and rotations are fitted on
+    at most ``sample`` vectors, those with the least hashes; every vector is indexed.
     Equal vectors are one class and never paired: their links are counted as
     sizes.  Candidate pairs are reranked by the vectors themselves, so no link is
     false; few are missed (see README).  Vectors that aren't ``usable``, or of
@@ -137,10 +189,9 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.9,
     taken = good.select("h1", "h2", "v").orderBy("h1", "h2").limit(sample).select("v").collect()
     if len(taken):
         x = np.array([r[0] for r in taken], np.float64)
-        bits, codes = tables_for(good.count(), least)
-        origin, projections = fit(x / np.linalg.norm(x, axis=1, keepdims=True), codes)
+        origin, projections, bits, near = index_for(x / np.linalg.norm(x, axis=1, keepdims=True), good.count(), least)
         classes = saved.write(good.select("cid", coder(origin, projections)(F.col("v")).alias("codes")))
-        pairs = candidates(classes, bits, codes, near_bits(least))
+        pairs = candidates(classes, bits, len(projections), near)
     else:
         pairs = spark.createDataFrame([], "a long, b long")
     ends = good.select(F.col("cid"), "n", "v")

@@ -100,16 +100,41 @@ def test_just_linked_pairs_with_short_and_long_keys(spark, monkeypatch):
 
 
 def test_candidates_a_vector_do_not_grow_with_the_table():
+    apart = E.opening(np.eye(4), np.zeros(4), 0.9)
     """Rows that a vector meets in buckets, were all codes spread evenly."""
     met = []
     for n in (65_536, 1 << 20, 1 << 24, 1 << 30):
-        bits, codes = E.tables_for(n, 0.9)
+        bits, codes = E.tables_for(n, apart)
         met.append(codes * (E.BITS // bits) * (1 + bits / 2) * n / 2**bits)
     assert all(m < 1100 for m in met) and met[-1] / met[0] < 20
-    assert E.tables_for(50_000, 0.9) == (16, 2)
+    assert E.tables_for(50_000, apart) == (16, 2)
 
 
 def test_vectors_of_another_length_and_ties(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 0.0]), (5, [0.9, (1 - 0.81) ** 0.5])]
     got = {i: (r["n_links"], r["component_id"]) for i, r in run(spark, rows).items()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1 if brute(np.array([rows[3][1], rows[4][1]], np.float32).astype(np.float64))[0, 1] else 0, 4), 5: (got[4][0], 4 if got[4][0] else 5)}
+
+
+def test_common_means_cost_no_recall_and_few_strangers(spark):
+    """Vectors at a common cosine of 0, 0.5 or 0.7, and pairs of them just linked."""
+    for common in (0.0, 0.5, 0.7):
+        rng = np.random.default_rng(int(common * 10))
+        d, n = 64, 1600
+        top = np.eye(d)[0]
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        own = unit(rng.standard_normal((n, d - 1)))
+        x = np.sqrt(common) * top + np.sqrt(1 - common) * np.concatenate([np.zeros((n, 1)), own], axis=1)
+        y = unit(x[:400] + 0.44 * unit(rng.standard_normal((400, d))))
+        rows = np.concatenate([x, y]).astype(np.float32).astype(np.float64)
+        u = unit(rows)
+        want = np.triu(u @ u.T >= 0.9, 1)
+        assert want.sum() > 200
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+        got = E.linked_vectors(spark, df).selectExpr("sum(n_links)").first()[0] // 2
+        assert 0.9 * want.sum() <= got <= want.sum(), common
+        origin, projections, bits, near = E.index_for(u, len(u), 0.9)
+        classes = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(u)], "cid long, v array<double>")
+        classes = classes.select("cid", E.coder(origin, projections)(classes["v"]).alias("codes"))
+        met = E.candidates(classes, bits, len(projections), near).count()
+        assert met - want.sum() < 0.05 * len(u) * (len(u) - 1) / 2, (common, met)
