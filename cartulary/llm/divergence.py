@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,10 @@ def documents_with(batches: Iterable[pa.RecordBatch], held: dict, merge: Callabl
     before) and hands them on when they hold HELD entries, and at the end."""
     size = 0
     for batch in batches:
-        names = batch.schema.names
-        for *group, text in zip(*(batch.column(c).to_pylist() for c in names)):
-            counter = held[tuple(group)]
+        *groups, texts = (batch.column(c).to_pylist() for c in batch.schema.names)
+        # group by group, so that a counter and its language's words stay at hand
+        for group, text in sorted(zip(zip(*groups), texts), key=lambda row: row[0]):
+            counter = held[group]
             before = len(counter)
             merge(counter, text.translate(FOLD))
             size += len(counter) - before
@@ -48,14 +50,30 @@ def document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
     return documents_with(batches, defaultdict(Counter), lambda counter, text: counter.update(set(text.split())), rows_of)
 
 
+def group_columns(held: dict[tuple[str, ...], Counter]) -> list[pa.Array]:
+    """The groups' columns, each group as often as its counter has entries."""
+    at = pa.array(np.repeat(np.arange(len(held), dtype=np.int32), [len(c) for c in held.values()]))
+    return [pa.DictionaryArray.from_arrays(at, pa.array(c, pa.string())).cast(pa.string()) for c in zip(*held)]
+
+
+def chained(held: dict[tuple[str, ...], Counter]) -> tuple[list, np.ndarray]:
+    keys: list = []
+    for counter in held.values():
+        keys += counter
+    return keys, np.fromiter((n for counter in held.values() for n in counter.values()), np.int64, len(keys))
+
+
 def rows_of(held: dict[tuple[str, ...], Counter]) -> pa.RecordBatch:
-    groups, terms, counts = [], [], []
-    for group, counter in held.items():
-        groups += [group] * len(counter)
-        terms += counter.keys()
-        counts += counter.values()
-    columns = [pa.array(c, pa.string()) for c in zip(*groups)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.binary()), pa.array(counts, pa.int64())], names=[*("lang", "source")[: len(columns)], "term", "n"])
+    keys, n = chained(held)
+    return pa.RecordBatch.from_arrays([*group_columns(held), pa.array(keys, pa.binary()), pa.array(n)], names=["lang", "term", "n"])
+
+
+def numbered_rows_of(held: dict[tuple[str, ...], Counter]) -> pa.RecordBatch:
+    """Rows that give a listed term by its number, and another word as it is."""
+    keys, n = chained(held)
+    number = np.fromiter((k if k.__class__ is int else -1 for k in keys), np.int32, len(keys))
+    words = pa.array([None if k.__class__ is int else k for k in keys], pa.binary())
+    return pa.RecordBatch.from_arrays([*group_columns(held), pa.array(number), words, pa.array(n)], names=["lang", "source", "number", "word", "n"])
 
 
 class Automaton:
@@ -100,9 +118,9 @@ class Automaton:
 
 
 def occurrences(listed: Broadcast, beside: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function: (lang, source, term, n) of the task's documents, by the
-    automaton of the ``listed`` terms; ``beside`` tells whether a kept term may be among
-    the other words, which are then counted too."""
+    """mapInArrow function: (lang, source, number, word, n) of the task's documents, by the
+    automaton of the ``listed`` terms, which go by their numbers; ``beside`` tells whether
+    a kept term may be among the other words, which are then counted too, with number -1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton.of(listed)
@@ -112,10 +130,7 @@ def occurrences(listed: Broadcast, beside: bool) -> Callable[[Iterable[pa.Record
             counter.update(hits)
             counter.update(others)
 
-        def named(held: dict[tuple[str, str], Counter]) -> pa.RecordBatch:
-            return rows_of({g: {automaton.terms[k] if isinstance(k, int) else k: n for k, n in counter.items()} for g, counter in held.items()})
-
-        return documents_with(batches, defaultdict(Counter), merge, named)
+        return documents_with(batches, defaultdict(Counter), merge, numbered_rows_of)
 
     return run
 
@@ -163,9 +178,11 @@ def postings(spark: SparkSession, docs: DataFrame, saved: Saved, automaton: int
     df = part.select("lang", "text").mapInArrow(document_frequencies, "lang string, term binary, n long")
     kept = saved.write(df.groupBy("lang", "term").agg(F.sum("n").alias("df")).where(F.col("df") >= LEAST_DOCS))
     listed = commonest(kept, automaton)
-    found = part.select("lang", "source", "text").mapInArrow(occurrences(spark.sparkContext.broadcast(listed), not all_listed(kept, listed)), "lang string, source string, term binary, n long")
-    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
-    counts = saved.write(counts.select("lang", "source", "term", "n"))
+    found = part.select("lang", "source", "text").mapInArrow(occurrences(spark.sparkContext.broadcast(listed), not all_listed(kept, listed)), "lang string, source string, number int, word binary, n long")
+    numbers = saved.write(spark.createDataFrame(pa.table({"term": pa.array(listed, pa.binary()), "number": pa.array(range(len(listed)), pa.int32())})))
+    summed = found.groupBy("lang", "source", "number", "word").agg(F.sum("n").alias("n")).join(small(numbers), "number", "left")
+    counts = summed.select("lang", "source", F.coalesce("term", "word").alias("term"), "n").join(small(kept), ["lang", "term"], "left_semi")
+    counts = saved.write(counts)
     sizes = saved.write(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")))
     groups = docs.select("lang", "source").distinct().join(small(sizes), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
@@ -179,6 +196,14 @@ def postings(spark: SparkSession, docs: DataFrame, saved: Saved, automaton: int
     return groups, posts, langs
 
 
+def both_ways(sums: DataFrame) -> DataFrame:
+    """(lang, source, item, value): ``x`` from source to o_source and ``y`` back, from one
+    pass over ``sums``; a union would work them out twice."""
+    one = F.struct("source", F.col("o_source").alias("item"), F.col("x").cast("decimal(38,0)").alias("value"))
+    back = F.struct(F.col("o_source").alias("source"), F.col("source").alias("item"), F.col("y").cast("decimal(38,0)").alias("value"))
+    return sums.select("lang", F.explode(F.array(one, back)).alias("way")).select("lang", "way.*")
+
+
 def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every two sources of a lang, in both orders.
 
@@ -195,7 +220,7 @@ def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
     hist = posts.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("c"))
     each = hist.join(b, "lang").where(other)
     mine = each.groupBy("lang", "source", "o_source").agg(F.sum(F.col("c") * apart(F.col("p"), F.col("o_p0"))).alias("x"), F.sum(F.col("c") * apart(F.col("o_p0"), F.col("p"))).alias("y"))
-    single = mine.select("lang", "source", F.col("o_source").alias("item"), own(F.col("x"))).unionByName(mine.select("lang", F.col("o_source").alias("source"), F.col("source").alias("item"), own(F.col("y"))))
+    single = both_ways(mine)
     known = posts.join(small(g.select("lang", "source", "p0")), ["lang", "source"]).select("lang", "term", "source", "p", "p0")
     also = known.select("lang", "term", *[F.col(c).alias(f"o_{c}") for c in ("source", "p", "p0")])
     both = known.join(also, ["lang", "term"]).where(F.col("source") < F.col("o_source"))
@@ -204,7 +229,7 @@ def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
         F.sum(apart(p, q) - apart(p, q0) - apart(p0, q) + apart(p0, q0)).alias("x"),
         F.sum(apart(q, p) - apart(q0, p) - apart(q, p0) + apart(q0, p0)).alias("y"),
     )
-    met = shared.select("lang", "source", F.col("o_source").alias("item"), own(F.col("x"))).unionByName(shared.select("lang", F.col("o_source").alias("source"), F.col("source").alias("item"), own(F.col("y"))))
+    met = both_ways(shared)
     empty = groups.where("v = 0").select("lang", "source").alias("a").join(groups.where("v = 0").select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     return neither.unionByName(single).unionByName(met).unionByName(empty.withColumn("value", own(F.lit(0)))).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
 

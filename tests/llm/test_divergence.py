@@ -80,3 +80,16 @@ def test_automaton_finds_neighbours_and_other_words():
     found = divergence.Automaton([b"a", b"ab", "é".encode()])
     hits, others = found.count("a a  abc ab é x é".encode())
     assert hits == [0, 0, 1, 2, 2] and others == [b"abc", b"x"]
+
+
+def test_listed_terms_cross_to_spark_as_numbers():
+    """Their bytes are not handed on for each group; other words are."""
+    import pyarrow as pa
+
+    class Listed:
+        value = [b"a", b"ab"]
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["m", "l", "l"], "source": ["s", "t", "s"], "text": [b"a x", b"AB a", b"a a y"]})
+    (out,) = divergence.occurrences(Listed, True)([batch])
+    got = {tuple(r.values()) for r in out.to_pylist()}
+    assert got == {("m", "s", 0, None, 1), ("m", "s", -1, b"x", 1), ("l", "t", 1, None, 1), ("l", "t", 0, None, 1), ("l", "s", 0, None, 2), ("l", "s", -1, b"y", 1)}
