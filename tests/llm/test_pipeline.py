@@ -1,4 +1,5 @@
 import glob
+import random
 
 import corpus_pipeline
 from cartulary.llm import language_id, line_dedup, simhash_dedup, source_mix
@@ -72,3 +73,16 @@ def test_stages_keep_clashing_columns_and_take_odd_rows(spark, sf):
 def test_an_empty_table_goes_through(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_line_stage_compares_hot_buckets_in_full(spark, monkeypatch):
+    """Pairs that share only the block of a bucket over HOT, and are not drawn by lot."""
+    rnd = random.Random(6)
+    short = lambda: "".join(rnd.choice("bcdfghjklmnpqrstvwxy") for _ in range(3))
+    alone = [[short() for _ in range(7)] for _ in range(30)]
+    texts = ["extraordinary circumstances " + " ".join(words) for words in alone]
+    texts += [t[:28] + " ".join(w[:1] + "z" + w[2:] for w in words) for t, words in zip(texts[:6], alone)]
+    for name, value in (("HOT", 4), ("CROWD", 4), ("DRAWS", (1, 1, 1))):
+        monkeypatch.setattr(corpus_pipeline.line_dedup, name, value)
+    out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t if i < 30 else "" for i, t in enumerate(texts)}
