@@ -148,3 +148,10 @@ def test_packing_of_odd_rows(spark):
     assert best_fit.pack(spark, df.limit(0), WORDS).count() == 0
     with pytest.raises(ValueError):
         best_fit.pack(spark, df, WORDS, most_pieces=0)
+
+
+def test_white_space_that_the_tokenizer_does_not_split_at():
+    """Signs at which str.split cuts a word and the tokenizer may not, ASCII words and others in any case."""
+    words = best_fit.WordIds(WORDS)
+    texts = [f"one{c}Two THREE, ΣΟΣ étÉ. x" for c in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", " ", " ")]
+    assert words.ids(texts) == [np.array(words.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
