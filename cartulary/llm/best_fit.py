@@ -26,7 +26,8 @@ MOST_COST = CAPACITY * CAPACITY
 WEIGHTS = (1.0, 0.1, 0.1)
 #: Pieces that one task packs, on average.
 PACK_ROWS = 20_000
-#: Most words that a worker remembers; beyond it starts anew.
+#: Most words that a worker has in its cache; beyond it starts anew and remembers the cache
+#: before, from which words that come again are taken over.
 CACHED = 600_000
 #: Characters of one text that are encoded at once.
 BLOCK = 1 << 20
@@ -58,7 +59,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.cache = Tokenizer.from_file(path), {}
+        self.library, self.cache, self.before = Tokenizer.from_file(path), {}, {}
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix, vocab = self.library.model.end_of_word_suffix, self.library.get_vocab()
@@ -82,25 +83,39 @@ class WordIds:
             raw = np.array(found.ids, "<u4").tobytes()
             self.cache.update((w, raw[i:j]) for w, i, j in zip(group, cuts, cuts[1:]))
 
+    def unknown(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that neither cache has; what the one before has is taken over."""
+        words = words.difference(self.cache)
+        again = self.before.keys() & words
+        self.cache.update(zip(again, map(self.before.__getitem__, again)))
+        return words - again
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that the cache lacks.  A mark after a letter or digit is a
         pre-token, and letters' case makes no difference (but for a sigma's, which
         depends on its place), so that most are made of known parts."""
         if len(self.cache) + len(words) > CACHED:
-            self.cache = {}
-        parts = {}
-        for w in words:
+            self.cache, self.before = {}, self.cache
+        whole, marked = {}, {}
+        for w in self.unknown(words):
+            if w.isascii() and w.isalpha():
+                whole[w] = w.lower()
+                continue
             core, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].lower().isalnum() else (w, "")
             if core.isalpha() and (core.isascii() or (is_normalized("NFC", core) and "\u03a3" not in core)):
                 core = core.lower()
-            parts[w] = (core, mark)
-        new = {p for pair in parts.values() for p in pair}.difference(self.cache, ("",))
+            if mark:
+                marked[w] = (core, mark)
+            else:
+                whole[w] = core
+        new = self.unknown({*whole.values(), *(p for pair in marked.values() for p in pair)})
         plain = [p for p in new if p.isalpha() and p == p.lower() and (p.isascii() or is_normalized("NFC", p))] if self.ends.any() else []
         self.encode_plain(plain)
         self.encode(list(new.difference(plain)))
-        out = {w: self.cache[core] + self.cache[mark] if mark else self.cache[core] for w, (core, mark) in parts.items()}
-        self.cache.update(out)
-        return out
+        ids = self.cache.__getitem__
+        self.cache.update(zip(whole, map(ids, whole.values())))
+        self.cache.update([(w, ids(core) + ids(mark)) for w, (core, mark) in marked.items()])
+        return self.cache
 
     def look_up(self, many: list[list[str]]) -> list[bytes]:
         found = [list(map(self.cache.get, words)) for words in many]

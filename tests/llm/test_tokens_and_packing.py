@@ -155,3 +155,16 @@ def test_white_space_that_the_tokenizer_does_not_split_at():
     words = best_fit.WordIds(WORDS)
     texts = [f"one{c}Two THREE, ΣΟΣ étÉ. x" for c in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", " ", " ")]
     assert words.ids(texts) == [np.array(words.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_of_the_cache_before_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(best_fit, "CACHED", 40)
+    words = best_fit.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    encoded, plain = [], words.encode_plain
+    monkeypatch.setattr(words, "encode_plain", lambda many: (encoded.extend(many), plain(many))[1])
+    one, two = (" ".join(f"{c}{d}{end}" for d in "abcdefghijklmno" for end in ("ing", "ed")) for c in "vw")
+    texts = (one, two, " ".join(one.split()[:5]))
+    got = [words.ids([text])[0] for text in texts]
+    assert got == [np.array(words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert len(encoded) == len(set(encoded)) == 60
+    assert len(words.cache) <= 40
