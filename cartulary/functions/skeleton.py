@@ -11,7 +11,7 @@ from cartulary.functions.text import lines
 # Fixed values. Line patterns of the public contract.
 SYMBOL = r"(?U)^\s*(?:pub\s+)?(?:async\s+)?(?:fn|def|class|struct|enum|trait|impl|function|const)\s+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT = r"(?U)^\s*(?:use\s+[^;]+;|mod\s+\w+;|import\s+.+|from\s+\S+\s+import\s+.+|#include\s+.+)"
-HEADING = r"(?U)^\s*(#{1,6}) (.*)$"
+HEADING = r"(?Us)^\s*(#{1,6}) (.*)$"
 DEFINED = r"(?m)^\s*(?:\*\*)?([A-Z][A-Za-z0-9 _/-]{2,40})(?:\*\*)?\s*[:—-]"
 MOST, MOST_TERMS, IMPORT_CHARS, HEADING_CHARS = 200, 50, 240, 120
 
@@ -20,15 +20,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def outline(text: Column) -> Column:
-    """Headings: array of (text, line, level)."""
+def most_of(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
+
+
+def outline(text: Column, most: int | None = MOST) -> Column:
+    """Headings: array of (text, line, level); a card keeps MOST, None gives all."""
     each = F.transform(lines(text), lambda s, i: F.struct(strip(F.regexp_extract(s, HEADING, 2)).alias("text"), (i + 1).alias("line"), F.length(F.regexp_extract(s, HEADING, 1)).alias("level")))
-    return F.slice(F.filter(each, lambda h: h["level"] > 0), 1, MOST)
+    return most_of(F.filter(each, lambda h: h["level"] > 0), most)
 
 
-def code_symbols(text: Column) -> Column:
+def code_symbols(text: Column, most: int | None = MOST) -> Column:
     each = F.transform(lines(text), lambda s, i: F.struct(F.regexp_extract(s, SYMBOL, 1).alias("name"), F.regexp_extract(s, r"(?U)^\s*(\S+)", 1).alias("kind"), (i + 1).alias("line")))
-    return F.slice(F.filter(each, lambda s: s["name"] != ""), 1, MOST)
+    return most_of(F.filter(each, lambda s: s["name"] != ""), most)
 
 
 def symbols(text: Column, adapter: Column) -> Column:
