@@ -19,15 +19,16 @@ def bounds(rows: Column, text: Column, adapter: Column, mode: str, window: int,
     of prose or symbol of code to the next, but no further than ``window`` lines;
     ``boundary_overlap`` reads ``overlap`` lines on.  ``boundary_split``, unlike
     these, cuts a longer section into several chunks and loses no line.  ``rows``
-    are the text's lines, as a column of their own.
+    are the text's lines, as a column of their own.  All headings and symbols count,
+    not only those that a card keeps.
     """
     n = F.size(rows)
     if mode == "fixed":
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(window)))
         spans = F.transform(starts, lambda s: F.struct((s + 1).alias("first"), F.least(s + window, n).alias("last")))
         return F.coalesce(spans, F.array().cast("array<struct<first:int,last:int>>"))
-    heads = F.transform(F.filter(skeleton.outline(text), lambda h: h["line"] > 1), lambda h: h["line"] - 1)
-    marks = F.transform(F.filter(skeleton.code_symbols(text), lambda s: s["line"] > 1), lambda s: s["line"] - 1)
+    heads = F.transform(F.filter(skeleton.outline(text, None), lambda h: h["line"] > 1), lambda h: h["line"] - 1)
+    marks = F.transform(F.filter(skeleton.code_symbols(text, None), lambda s: s["line"] > 1), lambda s: s["line"] - 1)
     starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.when(paths.is_prose(adapter), heads).otherwise(marks))))
     ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
     pairs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] > p["a"])

@@ -15,7 +15,7 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize("name", ["outline"])
+@pytest.mark.parametrize("name", ["outline", "chunks_boundary"])
 def test_query_equals_its_sql_on_long_texts(spark, tmp_path, name):
     rows = [(i, text, "en", "web") for i, text in TEXTS.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
